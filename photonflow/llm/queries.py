@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from photonflow.llm import bpe, media, quality, simhash, warc
+from photonflow.llm import bpe, chat, lines, media, merkle, quality, simhash, warc
 from photonflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,12 +15,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": lambda spark, sf: quality.op1(table(spark, sf, "documents"), table(spark, sf, "labels")),
+        "op2_lines": lambda spark, sf: lines.op2(table(spark, sf, "documents")),
+        "op3_chat": lambda spark, sf: chat.op3(table(spark, sf, "conversations")),
         "op4_media": lambda spark, sf: media.op4(table(spark, sf, "documents")),
         "op5_warc": lambda spark, sf: warc.op5(table(spark, sf, "pages")),
         "op6_simhash": lambda spark, sf: simhash.op6(table(spark, sf, "documents")),
+        "op7_merkle": lambda spark, sf: merkle.op7(table(spark, sf, "documents")),
         "op8_bpe": lambda spark, sf: bpe.op8(table(spark, sf, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": chat.ORACLE}
