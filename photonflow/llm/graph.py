@@ -49,7 +49,7 @@ def block_components(rows: DataFrame, close: Callable[[Column, Column], Column],
     ``verify`` may drop candidate pairs ``(a, b)`` by a costlier test.
     """
     rows = rows.where("k is not null and id is not null")
-    order = F.xxhash64("id")
+    order = F.xxhash64("id", "k")  # other pivots in each block
     pivots = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.min_by("fp", "id").alias("f0"), F.min_by("id", order).alias("p1"), F.min_by("fp", order).alias("f1"), F.max_by("id", order).alias("p2"), F.max_by("fp", order).alias("f2")).where("n > 1")
     pivots = pivots.select("k", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{i}").alias("id"), F.col(f"f{i}").alias("fp")) for i in range(3))))).alias("p"))
     near = rows.join(pivots, "k").where((F.col("id") != F.col("p.id")) & close(F.col("fp"), F.col("p.fp")))

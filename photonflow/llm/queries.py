@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from photonflow.llm import bpe, chat, lines, media, merkle, quality, simhash, warc
+from photonflow.llm import bpe, chat, lines, media, merkle, mixing, quality, rollup, simhash, warc
 from photonflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ def queries() -> dict[str, Query]:
         "op6_simhash": lambda spark, sf: simhash.op6(table(spark, sf, "documents")),
         "op7_merkle": lambda spark, sf: merkle.op7(table(spark, sf, "documents")),
         "op8_bpe": lambda spark, sf: bpe.op8(table(spark, sf, "documents")),
+        "op9_rollup": lambda spark, sf: rollup.op9(table(spark, sf, "documents")),
+        "op10_mixing": lambda spark, sf: mixing.op10(table(spark, sf, "documents")),
     }
 
 

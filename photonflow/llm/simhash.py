@@ -120,11 +120,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
+#: Independent fingerprints for ``similar_groups``, and the least share of common five-word shingles.
+TABLES, SIMILARITY, WORDS = 6, 0.8, 5
+#: Shingles kept for a comparison: all of a text that has no more, else the smallest hashes, an unbiased sample.
+SKETCH = 256
+
+
+def word_prints(text: str | None, tables: int = TABLES) -> list[int]:
+    """``tables`` SimHashes over the set of lower-cased words, each under a mixing of its own; signed longs.
+
+    Over sets of words common words do not draw unrelated texts together, and an edit of a few words
+    turns few bits, so one of several fingerprints of a near copy is nearly always close.
+    """
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    base = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = []
+    for k in range(tables):
+        h = base + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts = _bit_counts(h ^ (h >> np.uint64(31)))
+        out.append(sum(1 << i for i in np.flatnonzero(2 * counts > len(h)).tolist()))
+    return np.array(out, np.uint64).view(np.int64).tolist()
+
+
+def shingle_sketch(text: str | None, words: int = WORDS, size: int = SKETCH) -> list[int]:
+    """The ``size`` smallest hashes (32-bit, signed) of the set of lower-cased word shingles, ascending."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return []
+    joined, n = b" ".join(parts), max(1, len(parts) - words + 1)
+    ends = np.cumsum([len(w) + 1 for w in parts])
+    starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
+    stops = (ends[-n:] - 1).tolist()
+    h = np.fromiter((xxhash.xxh32_intdigest(joined[i:j], SEED) for i, j in zip(starts, stops)), np.uint32, n)
+    return np.unique(h.view(np.int32))[:size].tolist()
+
+
+def shingle_similarity(a: str, b: str, size: int = SKETCH) -> Column:
+    """Jaccard similarity of two sketches: exact up to ``size`` shingles, else estimated; 1 for two empty ones."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
+    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(union, F.col(a)), F.col(b))) / F.size(union))
+
+
+def text_features(docs: DataFrame, text_col: str = "text", tables: int = TABLES) -> DataFrame:
+    """``(th, prints, sketch)`` of each row; ``th`` is a 64-bit hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            prints = pa.array([word_prints(t, tables) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([shingle_sketch(t) for t in texts], pa.list_(pa.int32()))], ["th", "prints", "sketch"])
+
+    narrow = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "th long, prints array<long>, sketch array<int>")
+
+
+def similar_groups(features: DataFrame, distance: int = DISTANCE, at_least: float = SIMILARITY) -> DataFrame:
+    """``(id, component)`` of text hashes that are linked: a fingerprint within ``distance``, and ``at_least`` of the shingles common."""
+    nodes = cut(features.groupBy("th").agg(F.any_value("prints").alias("prints"), F.any_value("sketch").alias("sketch")), "nodes")
+    blocks = plan_blocks(nodes.count(), distance)
+    each = nodes.select("th", F.posexplode("prints").alias("t", "fp"))
+    rows = each.select(F.explode(F.transform(block_keys(F.col("fp"), blocks, distance), lambda k: F.xxhash64("t", k))).alias("k"), F.col("th").alias("id"), "fp")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sa, sb = (nodes.select(F.col("th").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        return pairs.join(sa, "a").join(sb, "b").where(shingle_similarity("sa", "sb") >= at_least).drop("sa", "sb")
+
+    return block_components(rows, within(distance), verify)
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate group; repeated rows stay as one, null ids stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("component_id = id").select(F.col("id").alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return chosen.unionAll(docs.where(F.col(id_col).isNull()))
+    """One row of ``docs`` for each group of copies and near copies, that with the smallest id; columns unchanged.
+
+    Exact copies are one node; near copies share ``SIMILARITY`` of their five-word shingles and are
+    found by word-set fingerprints. Null text is its own text; null ids come last; repeated rows stay as
+    one; an empty table gives no rows.
+    """
+    features = cut(text_features(docs, text_col), "features")
+    groups = similar_groups(features)
+    keyed = docs.select(F.xxhash64(text_col).alias("th"), F.col(id_col).alias("id")).join(groups.withColumnsRenamed({"id": "th", "component": "c"}), "th", "left").withColumn("c", F.coalesce("c", "th"))
+    first = keyed.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.th").alias("_th"))
+    kept = docs.withColumn("_th", F.xxhash64(text_col)).join(cut(first, "kept").withColumnRenamed("_th", "_kept"), (F.col("_th") == F.col("_kept")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_th", id_col]).select(*docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:
