@@ -42,8 +42,8 @@ def camera(make: Column, model: Column) -> Column:
 
 
 def shutter(seconds: Column) -> Column:
-    """``1/n s`` below a second, else with one decimal; null for zero or less."""
-    return F.when(seconds <= 0, None).when(seconds < 1, F.concat(F.lit("1/"), F.floor(1 / seconds).cast("string"), F.lit("s"))).otherwise(F.format_string("%.1fs", seconds))
+    """``1/n s`` below a second, else with one decimal; null for null, zero or less."""
+    return F.when(seconds.isNull() | (seconds <= 0), None).when(seconds < 1, F.concat(F.lit("1/"), F.floor(1 / seconds).cast("string"), F.lit("s"))).otherwise(F.format_string("%.1fs", seconds))
 
 
 def iso(value: Column) -> Column:
@@ -51,4 +51,4 @@ def iso(value: Column) -> Column:
 
 
 def aperture(value: Column) -> Column:
-    return F.format_string("f/%.1f", value)
+    return F.when(value.isNotNull(), F.format_string("f/%.1f", value))

@@ -100,8 +100,8 @@ def enhance(run: Run) -> DataFrame:
     m = lambda name: F.lit(None).cast("string") if c.compat else F.col(f"metadata.{name}")
     moment = F.lit(None).cast("timestamp_ntz") if c.compat else F.col("metadata.datetime")
     text = prompt.output_text(c.enhance_output_format, F.col("content"), moment, m("location_str"), m("camera"), m("filename"))
-    done = run.finish("enhance", answered.withColumn("text", text))
-    return done.unionAll(todo.where("description is null").select("rel_path", F.lit(REJECTED), F.lit(0)))
+    rejected = stable(todo.where("description is null").select("rel_path", F.lit(REJECTED).alias("outcome"), F.lit(0).alias("output_count")), "rejected")
+    return run.finish("enhance", answered.withColumn("text", text)).unionAll(rejected)
 
 
 def geolocate(run: Run) -> DataFrame:

@@ -23,8 +23,10 @@ BATCH = 4096
 
 
 class Folder(InputPartition):
-    def __init__(self, path: str, deep: bool) -> None:
-        self.path, self.deep = path, deep
+    """A directory, read alone or with all below; ``above`` has the real paths on the way from the root to it."""
+
+    def __init__(self, path: str, deep: bool, above: tuple[str, ...]) -> None:
+        self.path, self.deep, self.above = path, deep, above
 
 
 class ImageTree(DataSource):
@@ -52,36 +54,30 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Breadth first: a directory that was opened on the way is read alone, one that was not with all below."""
-        opened, level, seen = [], [self.root], {os.path.realpath(self.root)}
+        opened, level = [], [Folder(self.root, True, ())]
         while level and len(opened) + len(level) < self.target:
-            below = []
-            for folder in level:
-                opened.append(Folder(folder, False))
-                below += self.folders(folder, seen)
-            level = below
-        return opened + [Folder(f, True) for f in level]
+            opened += [Folder(f.path, False, f.above) for f in level]
+            level = [below for f in level for below in self.folders(f)]
+        return opened + level
 
     @staticmethod
-    def folders(folder: str, seen: set[str]) -> list[str]:
-        """Sub-directories that were not seen; a link back to one that was ends there."""
-        out = []
+    def folders(folder: Folder) -> list[Folder]:
+        """Sub-directories; links are followed, but not back to where the way came from."""
+        above, out = (*folder.above, os.path.realpath(folder.path)), []
         try:
-            with os.scandir(folder) as entries:
-                for e in entries:
-                    if e.is_dir() and (real := os.path.realpath(e.path)) not in seen:
-                        seen.add(real)
-                        out.append(e.path)
+            with os.scandir(folder.path) as entries:
+                out = [Folder(e.path, True, above) for e in entries if e.is_dir() and os.path.realpath(e.path) not in above]
         except OSError:
             pass
-        return sorted(out)
+        return sorted(out, key=lambda f: f.path)
 
     def read(self, part: Folder) -> Iterator[pa.RecordBatch]:
-        rows, todo, seen = [], [part.path], {os.path.realpath(part.path)}
+        rows, todo = [], [part]
         while todo:
             folder = todo.pop()
-            rows += self.files(folder)
+            rows += self.files(folder.path)
             if part.deep:
-                todo += self.folders(folder, seen)
+                todo += self.folders(folder)
             if len(rows) >= BATCH:
                 yield self.batch(rows)
                 rows = []
