@@ -112,18 +112,20 @@ class Reader:
         return (fields, block, after) if after <= self.size and self.read(after - len(END), len(END)) == END else None
 
 
-def candidates(ranges: DataFrame) -> DataFrame:
+def candidates(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(file, size, at, next)``: places that look like a record, each with its successor's offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, size, start in zip(*(c.to_pylist() for c in batch.columns)):
-                source, found = Reader(file, size), []
-                for low in range(start, min(start + RANGE_BYTES, size), READ_BYTES):
-                    window = Reader(file, size).read(low, READ_BYTES + len(MAGIC) - 1)[: READ_BYTES + len(MAGIC) - 1]
+                reader, source, found = Reader(file, size), Reader(file, size), []
+                stop = min(start + range_bytes, size)
+                for low in range(start, stop, READ_BYTES):
+                    high = min(low + READ_BYTES, stop)
+                    window = reader.read(low, min(high + len(MAGIC) - 1, size) - low)
                     hit = window.find(MAGIC)
-                    while hit >= 0:
-                        if hit < READ_BYTES and (got := source.head(low + hit)):
+                    while 0 <= hit < high - low:
+                        if got := source.head(low + hit):
                             found.append((low + hit, got[2]))
                         hit = window.find(MAGIC, hit + 1)
                 yield pa.RecordBatch.from_pydict({"file": pa.array([file] * len(found), pa.string()), "size": pa.array([size] * len(found), pa.int64()), "at": pa.array([a for a, _ in found], pa.int64()), "next": pa.array([b for _, b in found], pa.int64())})
@@ -180,7 +182,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
     Length and digest are of the full payload: a revisit has those of the response that it refers to.
     """
     ranges = files(spark, path).select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    links = cut(candidates(ranges.repartition(F.col("file"), F.col("start"))), "links")
+    links = cut(candidates(ranges.repartition(F.col("file"), F.col("start")), range_bytes), "links")
     places = links.select("file", "size", "at").join(reachable(links), ["file", "at"]).select("file", "size", "at")
     parts = places.repartition(F.col("file"), (F.col("at") / range_bytes).cast("long")).sortWithinPartitions("file", "at")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
