@@ -45,5 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that what an operator adds cannot clash with a name that the table has."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``row``, those in ``changed`` replaced."""
+    return df.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))

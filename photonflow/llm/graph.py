@@ -39,17 +39,18 @@ def components(edges: DataFrame) -> DataFrame:
         path = after
 
 
-def block_components(rows: DataFrame, close: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def block_components(rows: DataFrame, close: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame] | None = None, by_block: bool = False) -> DataFrame:
     """``rows(k, id, fp)``: ids that share a block ``k`` and are ``close`` are linked -> ``(id, component)``.
 
     Exact without all pairs of a block. First each member meets three pivots of its block
     (linear in the block). Then, only in blocks whose members are not yet in one component, the
     members outside the block's commonest component meet the others, and just pairs from
     different components are kept. A dense group is in one component after the first step.
-    ``verify`` may drop candidate pairs ``(a, b)`` by a costlier test.
+    ``verify`` may drop candidate pairs ``(a, b)`` by a costlier test. ``by_block`` draws other pivots in
+    each block: more pairs, for groups in which few members are linked to any one pivot.
     """
     rows = rows.where("k is not null and id is not null")
-    order = F.xxhash64("id", "k")  # other pivots in each block
+    order = F.xxhash64("id", "k") if by_block else F.xxhash64("id")
     pivots = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.min_by("fp", "id").alias("f0"), F.min_by("id", order).alias("p1"), F.min_by("fp", order).alias("f1"), F.max_by("id", order).alias("p2"), F.max_by("fp", order).alias("f2")).where("n > 1")
     pivots = pivots.select("k", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{i}").alias("id"), F.col(f"f{i}").alias("fp")) for i in range(3))))).alias("p"))
     near = rows.join(pivots, "k").where((F.col("id") != F.col("p.id")) & close(F.col("fp"), F.col("p.fp")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from photonflow.llm.common import cut, new_path, remove
+from photonflow.llm.common import cut, new_path, packed, remove, unpacked
 
 DIMS = ("source", "lang", "topic")
 #: Share of a category as its present share to this power: 1 leaves it, 0 makes all equal.
@@ -37,10 +37,10 @@ def tokens(text: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_source``, ``_lang``, ``_topic`` (null is a category of its own), ``_tokens`` and ``_u``, uniform in [0, 1)."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11).cast("double") / float(1 << 53)
-    return docs.withColumns({"_source": name("source"), "_lang": name("lang"), "_topic": topic(F.col("text")), "_tokens": tokens(F.col("text")), "_u": u})
+    """``row``, the columns of ``docs``, with ``_source``, ``_lang``, ``_topic`` (null is a category of its own), ``_tokens`` and ``_u``, uniform in [0, 1)."""
+    name = lambda c: F.coalesce(F.col(f"row.{c}").cast("string"), F.lit("\x00"))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "row.doc_id", "row.text"), 11).cast("double") / float(1 << 53)
+    return packed(docs).withColumns({"_source": name("source"), "_lang": name("lang"), "_topic": topic(F.col("row.text")), "_tokens": tokens(F.col("row.text")), "_u": u})
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -63,13 +63,15 @@ def rake(found: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -
     """``found(dims, w, t_<dim>)`` -> the same with ``fitted``, whose marginals are ``t_<dim>`` of the total.
 
     One round scales by each dimension in turn and is written to the shared folder; it ends when no
-    factor differs from 1 by more than ``tolerance``, or after ``rounds`` (marginals that contradict
-    each other, as when a source has one language only, have no exact fit; the last round is returned).
+    factor differs from 1 by more than ``tolerance``, when a round brings the largest factor less than a
+    thousandth nearer to 1, or after ``rounds``. Marginals that contradict each other, as when a source has one
+    language only, have no exact fit; the last round is returned.
     """
     spark = found.sparkSession
     total = found.agg(F.sum("w")).first()[0] or 0.0
     path = new_path(spark, "raked")
     state = cut(found.withColumn("fitted", F.col("w")).withColumn("off", F.lit(0.0)), "raked", path)
+    last = float("inf")
     for _ in range(rounds):
         step = state.withColumn("off", F.lit(0.0))
         for d in DIMS:
@@ -79,8 +81,10 @@ def rake(found: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -
         state = cut(step, "raked", after)
         remove(spark, path)
         path = after
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        off = state.agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance or off > 0.999 * last:
             break
+        last = off
     return state.drop("off")
 
 
@@ -120,7 +124,7 @@ def op10(docs: DataFrame) -> DataFrame:
     Equal rows are drawn alike; rows without tokens weigh nothing and are kept; null source or language is a category;
     an empty table gives no rows.
     """
-    rows = described(docs).select("doc_id", "source", "lang", *(f"_{d}" for d in DIMS), "_tokens", "_u")
+    rows = described(docs.select("doc_id", "source", "lang", "text")).select("row.doc_id", "row.source", "row.lang", *(f"_{d}" for d in DIMS), "_tokens", "_u")
     rows = cut(rows, "described")
     drawn = draw(rows, plan(rows))
     return drawn.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
@@ -129,4 +133,4 @@ def op10(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """The drawn rows of ``docs``, columns unchanged."""
     rows = described(docs)
-    return draw(rows, plan(rows)).where("_kept").select(*docs.columns)
+    return unpacked(draw(rows, plan(rows)).where("_kept"), docs.columns)

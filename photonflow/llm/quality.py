@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from photonflow.llm.common import packed, unpacked
+
 #: Labelled rows to fit on, in expectation; more would move no threshold visibly.
 MAX_ROWS = 20_000
 TREES, DEPTH, BINS, MIN_LEAF, RATE = 40, 3, 64, 20, 0.3
@@ -180,23 +182,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return fit(rows[names].to_numpy(float), rows["_y"].to_numpy(float), names)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score``, 0 to 1. Null and empty texts are scored by their statistics, as any other.
+def score(rows: DataFrame, model: Model, text: str) -> DataFrame:
+    """``rows`` with ``_score``, 0 to 1, of the column ``text``. Null and empty texts are scored by their statistics, as any other.
 
-    Statistics are computed once per row, in a projection below the score.
+    Statistics are computed once per row, as columns of a projection below the score (the optimizer would take a struct apart
+    and compute its fields at every use).
     """
-    stats = statistics(F.col(text_col))
+    stats = statistics(F.col(text))
     used = {t[0] for r, _ in model.rules for t in r.tests} | {x[0] for x in model.linear}
-    inner = docs.withColumn("_stats", F.struct(*(stats[k].alias(k) for k in stats if k in used), F.lit(0).alias("_")))
-    return inner.withColumn("_score", model.score({k: F.col(f"_stats.{k}") for k in stats})).drop("_stats")
+    inner = rows.withColumns({f"_stat_{k}": c for k, c in stats.items() if k in used})
+    return inner.withColumn("_score", model.score({k: F.col(f"_stat_{k}") for k in stats})).drop(*(f"_stat_{k}" for k in stats))
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract columns: doc_id, held_out, score, predicted. Repeated rows repeat; an empty table gives no rows."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
+    scored = score(docs.select("doc_id", "text"), train(docs, labels), "text")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score of one half or more, columns unchanged."""
-    return score(docs, train(docs, labels)).where("_score >= 0.5").drop("_score")
+    """The rows of ``docs`` with a score of one half or more, columns unchanged.
+
+    The random term is zero; it keeps the optimizer from moving the test below the projection of the
+    statistics, where every use of one would compute it anew.
+    """
+    scored = score(packed(docs), train(docs, labels), "row.text")
+    return unpacked(scored.where((F.col("_score") + 0 * F.rand(0)) >= 0.5), docs.columns)

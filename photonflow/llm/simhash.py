@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonflow.llm.common import cut
+from photonflow.llm.common import cut, packed, unpacked
 from photonflow.llm.graph import block_components
 
 SEED = 42
@@ -187,7 +187,7 @@ def similar_groups(features: DataFrame, distance: int = DISTANCE, at_least: floa
         sa, sb = (nodes.select(F.col("th").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
         return pairs.join(sa, "a").join(sb, "b").where(shingle_similarity("sa", "sb") >= at_least).drop("sa", "sb")
 
-    return block_components(rows, within(distance), verify)
+    return block_components(rows, within(distance), verify, by_block=True)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,8 +201,9 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = similar_groups(features)
     keyed = docs.select(F.xxhash64(text_col).alias("th"), F.col(id_col).alias("id")).join(groups.withColumnsRenamed({"id": "th", "component": "c"}), "th", "left").withColumn("c", F.coalesce("c", "th"))
     first = keyed.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.th").alias("_th"))
-    kept = docs.withColumn("_th", F.xxhash64(text_col)).join(cut(first, "kept").withColumnRenamed("_th", "_kept"), (F.col("_th") == F.col("_kept")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_th", id_col]).select(*docs.columns)
+    keyed = packed(docs).withColumns({"th": F.xxhash64(f"row.{text_col}"), "id": F.col(f"row.{id_col}")})
+    kept = keyed.join(cut(first, "kept"), (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return unpacked(kept.dropDuplicates(["th", "id"]), docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:
