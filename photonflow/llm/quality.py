@@ -203,8 +203,8 @@ def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score of one half or more, columns unchanged.
 
-    The random term is zero; it keeps the optimizer from moving the test below the projection of the
-    statistics, where every use of one would compute it anew.
+    The random term is zero; a projection with one keeps the optimizer from moving the test below the projection of
+    the statistics, where every use of one would compute it anew.
     """
-    scored = score(packed(docs), train(docs, labels), "row.text")
-    return unpacked(scored.where((F.col("_score") + 0 * F.rand(0)) >= 0.5), docs.columns)
+    scored = score(packed(docs), train(docs, labels), "row.text").withColumn("_score", F.col("_score") + 0 * F.rand(0))
+    return unpacked(scored.where("_score >= 0.5"), docs.columns)
