@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.ORACLE}
+    return {"op3_chat": chat.ORACLE, "op5_warc": warc.ORACLE}

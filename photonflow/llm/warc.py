@@ -203,3 +203,15 @@ def op5(pages: DataFrame) -> DataFrame:
     path = new_path(spark, "warc")
     write(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload")), path)
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS hx, min(page_id) OVER (PARTITION BY h) AS low FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hx, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (5 * (3 - k % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> low THEN low END AS refers_to
+FROM d
+"""
