@@ -126,6 +126,13 @@ def test_keep_representatives(spark):
     assert want <= got and len(got - want) <= 2  # fingerprints may miss a pair, and never take unlike texts together
 
 
+def edited(rng, t, n):
+    w = t.split(" ")
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"new{rng.getrandbits(40)}"
+    return " ".join(w)
+
+
 def test_keep_representatives_edges(spark):
     docs = edge_docs(spark)
     kept = simhash.keep_representatives(docs)
@@ -213,6 +220,30 @@ def test_lines_against_brute_force(spark):
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in found)
 
 
+def test_lines_recall_against_edit_distance(spark):
+    """Lines of any length with one changed character, or every twelfth word changed: found without any fingerprint's say."""
+    rng, out = random.Random(21), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    for size in (1, 2, 3, 5, 8, 12, 24, 40) * 12:
+        line = " ".join(word() for _ in range(size)) + "abcd"
+        at = rng.randrange(len(line))
+        other = edited(rng, line, size // 12) if size >= 12 and rng.random() < 0.5 else line[:at] + "0" + line[at + 1 :]
+        if distance(line, other) <= int(0.2 * max(len(line), len(other)) + 1e-9):
+            out += [(len(out), line), (len(out) + 1, other)]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.op2(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    lost = [out[i][1] for i, _ in out[::2] if got[i + 1] == 0]
+    assert len(out) > 150 and not [x for x in lost if len(x) <= lines.SHORT] and len(lost) <= 0.05 * len(out) / 2, lost
+    assert not any(got[i] for i, _ in out[::2])
+
+
+def test_lines_against_edit_distance_alone(spark, monkeypatch):
+    """The brute force of test_lines_against_brute_force, its condition on fingerprints taken out."""
+    monkeypatch.setitem(globals(), "line_print", lambda n: 0)
+    rows = line_rows()
+    got = lines.stage(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars long")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(brute_lines(rows))
+
+
 def test_lines_run_no_python(spark):
     plan = lines.dedup_lines(spark.createDataFrame(line_rows(), "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
