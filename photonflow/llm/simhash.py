@@ -8,6 +8,7 @@ number of fingerprints. Every choice finds every link.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -120,85 +121,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
-#: Independent fingerprints for ``similar_groups``, and the least share of common five-word shingles.
-TABLES, SIMILARITY, WORDS = 6, 0.8, 5
-#: Shingles kept for a comparison: all of a text that has no more, else the smallest hashes, an unbiased sample.
-SKETCH = 256
+#: Least share of common five-word shingles.
+SIMILARITY, WORDS = 0.8, 5
+#: MinHashes of a text's shingles; a pair that agrees in all of one of ``CHOICES`` is a candidate.
+MINHASHES = 24
+CHOICES = sorted({tuple(sorted(random.Random(i).sample(range(MINHASHES), 4))) for i in range(24)})
+#: Smallest shingle hashes kept to estimate similarity, whose standard error is then about .025, and how far below
+#: ``SIMILARITY`` an estimate may be for the pair to be compared as a whole.
+SKETCH, MARGIN = 256, 0.15
+#: Constants to which MinHashes are the nearest.
+NEAR = np.array([random.Random(-1 - i).getrandbits(64) for i in range(MINHASHES)], np.uint64)
 
 
-def word_prints(text: str | None, tables: int = TABLES) -> list[int]:
-    """``tables`` SimHashes over the set of lower-cased words, each under a mixing of its own; signed longs.
-
-    Over sets of words common words do not draw unrelated texts together, and an edit of a few words
-    turns few bits, so one of several fingerprints of a near copy is nearly always close.
-    """
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    base = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    out = []
-    for k in range(tables):
-        h = base + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        counts = _bit_counts(h ^ (h >> np.uint64(31)))
-        out.append(sum(1 << i for i in np.flatnonzero(2 * counts > len(h)).tolist()))
-    return np.array(out, np.uint64).view(np.int64).tolist()
-
-
-def shingle_sketch(text: str | None, words: int = WORDS, size: int = SKETCH) -> list[int]:
-    """The ``size`` smallest hashes (32-bit, signed) of the set of lower-cased word shingles, ascending."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the set of lower-cased word shingles, ascending; fewer words than ``words`` are one shingle, no words none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return []
+        return np.empty(0, np.uint64)
     joined, n = b" ".join(parts), max(1, len(parts) - words + 1)
     ends = np.cumsum([len(w) + 1 for w in parts])
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[-n:] - 1).tolist()
-    h = np.fromiter((xxhash.xxh32_intdigest(joined[i:j], SEED) for i, j in zip(starts, stops)), np.uint32, n)
-    return np.unique(h.view(np.int32))[:size].tolist()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, n))
 
 
-def shingle_similarity(a: str, b: str, size: int = SKETCH) -> Column:
-    """Jaccard similarity of two sketches: exact up to ``size`` shingles, else estimated; 1 for two empty ones."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(union, F.col(a)), F.col(b))) / F.size(union))
+def min_hashes(hashes: np.ndarray) -> list[int]:
+    """For each of ``NEAR`` the nearest of ``hashes``, ascending, by exclusive or; signed. No hashes: zeros."""
+    if not len(hashes):
+        return [0] * MINHASHES
+    return np.array([hashes[np.argmin(hashes ^ c)] for c in NEAR], np.uint64).view(np.int64).tolist()
 
 
-def text_features(docs: DataFrame, text_col: str = "text", tables: int = TABLES) -> DataFrame:
-    """``(th, prints, sketch)`` of each row; ``th`` is a 64-bit hash of the text."""
+def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(th, mins, sketch)`` of each row; ``th`` is a 64-bit hash of the text, ``sketch`` its smallest shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            prints = pa.array([word_prints(t, tables) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([shingle_sketch(t) for t in texts], pa.list_(pa.int32()))], ["th", "prints", "sketch"])
+            hashes = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([min_hashes(h) for h in hashes], pa.list_(pa.int64())), pa.array([h[:SKETCH].view(np.int64) for h in hashes], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["th", "mins", "sketch"])
 
     narrow = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "th long, prints array<long>, sketch array<int>")
+    return narrow.mapInArrow(run, "th long, mins array<long>, sketch array<long>")
+
+
+def whole_shingles(texts: DataFrame) -> DataFrame:
+    """``texts(th, text)`` -> ``(th, all)`` with every shingle hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["th", "all"])
+
+    return texts.mapInArrow(run, "th long, all array<long>")
 
 
-def similar_groups(features: DataFrame, distance: int = DISTANCE, at_least: float = SIMILARITY) -> DataFrame:
-    """``(id, component)`` of text hashes that are linked: a fingerprint within ``distance``, and ``at_least`` of the shingles common."""
-    nodes = cut(features.groupBy("th").agg(F.any_value("prints").alias("prints"), F.any_value("sketch").alias("sketch")), "nodes")
-    blocks = plan_blocks(nodes.count(), distance)
-    each = nodes.select("th", F.posexplode("prints").alias("t", "fp"))
-    rows = each.select(F.explode(F.transform(block_keys(F.col("fp"), blocks, distance), lambda k: F.xxhash64("t", k))).alias("k"), F.col("th").alias("id"), "fp")
+def shingle_similarity(a: str, b: str, size: int | None = None) -> Column:
+    """Jaccard similarity of two arrays of shingle hashes; with ``size``, its estimate from the smallest of both. 1 for two empty ones.
+
+    Hashes are taken as unsigned for the estimate, as they were when the sketches were made.
+    """
+    if size is None:
+        common = F.size(F.array_intersect(a, b))
+        union = F.size(a) + F.size(b) - common
+        return F.when(union == 0, 1.0).otherwise(common / union)
+    flip = F.lit(-(1 << 63))
+    unsigned = F.sort_array(F.transform(F.array_union(a, b), lambda h: h.bitwiseXOR(flip)))
+    union = F.transform(F.slice(unsigned, 1, size), lambda h: h.bitwiseXOR(flip))
+    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(union, F.col(a)), F.col(b))) / F.size(union))
+
+
+def similar_groups(features: DataFrame, texts: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
+    """``(id, component)`` of text hashes that are linked: MinHashes in common, and ``at_least`` of all shingles.
+
+    ``texts(th, text)`` has the text of each; only those of likely pairs are read, and compared as a whole.
+    """
+    nodes = cut(features.groupBy("th").agg(F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")), "nodes")
+    keys = F.array(*(F.xxhash64(F.lit(j), *(F.get("mins", F.lit(i)) for i in c)) for j, c in enumerate(CHOICES)))
+    rows = nodes.where(F.size("sketch") > 0).select(F.explode(keys).alias("k"), F.col("th").alias("id"), F.lit(0).alias("fp"))
+    blank = nodes.where(F.size("sketch") == 0).select(F.lit(0).cast("long").alias("k"), F.col("th").alias("id"), F.lit(0).alias("fp"))
+
+    def both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        for end in "ab":
+            pairs = pairs.join(of.select(F.col("th").alias(end), F.col(column).alias(f"s{end}")), end)
+        return pairs
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sa, sb = (nodes.select(F.col("th").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        return pairs.join(sa, "a").join(sb, "b").where(shingle_similarity("sa", "sb") >= at_least).drop("sa", "sb")
+        likely = both(pairs, nodes, "sketch").where(shingle_similarity("sa", "sb", SKETCH) >= at_least - MARGIN)
+        likely = cut(likely.select(*pairs.columns), "likely-pairs")
+        ends = likely.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+        whole = cut(whole_shingles(texts.join(ends, "th", "left_semi")).dropDuplicates(["th"]), "whole-shingles")
+        return both(likely, whole, "all").where(shingle_similarity("sa", "sb") >= at_least).select(*pairs.columns)
 
-    return block_components(rows, within(distance), verify, by_block=True)
+    return block_components(rows.unionAll(blank), lambda a, b: F.lit(True), verify, by_block=True)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of copies and near copies, that with the smallest id; columns unchanged.
 
-    Exact copies are one node; near copies share ``SIMILARITY`` of their five-word shingles and are
-    found by word-set fingerprints. Null text is its own text; null ids come last; repeated rows stay as
+    Exact copies are one node; near copies share ``SIMILARITY`` of their five-word shingles, counted over the whole
+    texts, and are found by MinHashes of these. Null text is its own text; null ids come last; repeated rows stay as
     one; an empty table gives no rows.
     """
     features = cut(text_features(docs, text_col), "features")
-    groups = similar_groups(features)
+    groups = similar_groups(features, docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")))
     keyed = docs.select(F.xxhash64(text_col).alias("th"), F.col(id_col).alias("id")).join(groups.withColumnsRenamed({"id": "th", "component": "c"}), "th", "left").withColumn("c", F.coalesce("c", "th"))
     first = keyed.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.th").alias("_th"))
     keyed = packed(docs).withColumns({"th": F.xxhash64(f"row.{text_col}"), "id": F.col(f"row.{id_col}")})

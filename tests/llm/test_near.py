@@ -133,6 +133,34 @@ def edited(rng, t, n):
     return " ".join(w)
 
 
+def near_pairs(sizes):
+    """Texts and copies with so many words changed that similarities lie on both sides of .8, with the similarities."""
+    rng, rows, want = random.Random(12), [], {}
+    for i, size in enumerate(sizes):
+        t = " ".join(f"w{rng.getrandbits(40)}" for _ in range(size))
+        copy = edited(rng, t, max(1, round(size * rng.uniform(0.018, 0.028))))
+        a, b = shingles(t), shingles(copy)
+        rows += [(2 * i, t), (2 * i + 1, copy)]
+        want[2 * i] = len(a & b) / len(a | b)
+    return rows, want
+
+
+def test_near_copies_of_long_texts_are_compared_as_a_whole(spark):
+    rows, want = near_pairs([600] * 60)
+    assert sum(0.775 <= x < 0.8 for x in want.values()) >= 5 and sum(0.8 <= x < 0.825 for x in want.values()) >= 5
+    got = {r["doc_id"] for r in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got >= set(want)
+    assert not [x for i, x in want.items() if x < 0.8 and i + 1 not in got]  # none is linked that is not near
+
+
+def test_near_copies_are_found(spark):
+    """Recall on near copies alone, no exact ones among them."""
+    rows, want = near_pairs([60, 90, 150, 300, 600] * 40)
+    got = {r["doc_id"] for r in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i, x in want.items() if x >= 0.8]
+    assert len(near) > 90 and sum(i + 1 not in got for i in near) >= 0.98 * len(near)
+
+
 def test_keep_representatives_edges(spark):
     docs = edge_docs(spark)
     kept = simhash.keep_representatives(docs)
