@@ -99,9 +99,14 @@ class Reader:
 
     def head(self, at: int) -> tuple[dict[str, str], int, int] | None:
         """(fields, block offset, successor) of a header at ``at``; None where it cannot be one."""
-        raw = self.read(at, HEADER_BYTES)
-        stop = raw.find(END)
-        if not raw.startswith(MAGIC) or stop < 0:
+        n = HEADER_BYTES
+        raw = self.read(at, n)
+        if not raw.startswith(MAGIC):
+            return None
+        while (stop := raw.find(END)) < 0 and at + n < self.size:  # a long url makes a long header
+            n *= 2
+            raw = self.read(at, n)
+        if stop < 0:
             return None
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw[:stop].decode("utf-8", "replace").split("\r\n")[1:])}
         length = fields.get("content-length", "")
@@ -180,10 +185,17 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` of every record under ``path``.
 
     Length and digest are of the full payload: a revisit has those of the response that it refers to.
+    A file whose records do not end exactly at its size is an error.
     """
-    ranges = files(spark, path).select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    archives = files(spark, path)
+    ranges = archives.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     links = cut(candidates(ranges.repartition(F.col("file"), F.col("start")), range_bytes), "links")
-    places = links.select("file", "size", "at").join(reachable(links), ["file", "at"]).select("file", "size", "at")
+    chain = links.join(reachable(links), ["file", "at"])
+    ends = chain.groupBy("file").agg(F.max("next").alias("end"))
+    torn = archives.join(ends, "file", "left").where("end is null or end <> size").select("file", "size", "end").limit(10).collect()
+    if torn:
+        raise ValueError("records do not reach the end of " + ", ".join(f"{r['file']} ({r['end']} of {r['size']} bytes)" for r in torn))
+    places = chain.select("file", "size", "at")
     parts = places.repartition(F.col("file"), (F.col("at") / range_bytes).cast("long")).sortWithinPartitions("file", "at")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     parsed = cut(records(parts).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "url", "n", "digest"), "records")

@@ -124,6 +124,25 @@ def test_warc_small_payloads_are_responses(spark):
     assert warc.op5(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("url", ["x" * 70_000, " " * 150_000])
+def test_warc_long_headers(spark, url):
+    pages = spark.createDataFrame([(1, "u", "first"), (2, url, "second"), (3, "u", "third")], "page_id long, url string, html string").coalesce(1)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.op5(pages).collect()) == [(1, 5), (2, 6), (3, 5)]
+    only = warc.op5(pages.where("page_id = 2")).collect()
+    assert [r["page_id"] for r in only] == [2]
+
+
+def test_warc_torn_file_is_an_error(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame([(i, "u", f"page {i}") for i in range(5)], "page_id long, url string, payload string").coalesce(1), path)
+    part = glob.glob(f"{tmp_path}/w/part-*")[0]
+    whole = open(part, "rb").read()
+    os.remove(f"{os.path.dirname(part)}/.{os.path.basename(part)}.crc")
+    open(part, "wb").write(whole[: len(whole) // 2])
+    with pytest.raises(ValueError, match="do not reach the end"):
+        warc.read(spark, path)
+
+
 def test_chain_ends_at_a_gap(spark):
     links = spark.createDataFrame([("f", 0, 10), ("f", 10, 30), ("f", 20, 30), ("f", 40, 50), ("g", 5, 9)], "file string, at long, next long")
     assert sorted((r["file"], r["at"]) for r in warc.reachable(links).collect()) == [("f", 0), ("f", 10)]
