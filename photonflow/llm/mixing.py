@@ -8,18 +8,24 @@ the fit works on cells, and each document draws its own number by hash.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from photonflow.llm.common import cut, new_path, packed, remove, unpacked
 
+log = logging.getLogger(__name__)
+
 DIMS = ("source", "lang", "topic")
 #: Share of a category as its present share to this power: 1 leaves it, 0 makes all equal.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.0}
 TOPICS = 16
 KEEP = 0.5
 TOLERANCE, ROUNDS = 1e-6, 100
+#: Rounds without progress after which raking gives up.
+PATIENCE = 20
 #: Counted cells up to which probabilities are broadcast to the documents.
 BROADCAST_CELLS = 100_000
 SEED = 20_240
@@ -63,15 +69,16 @@ def rake(found: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -
     """``found(dims, w, t_<dim>)`` -> the same with ``fitted``, whose marginals are ``t_<dim>`` of the total.
 
     One round scales by each dimension in turn and is written to the shared folder; it ends when no
-    factor differs from 1 by more than ``tolerance``, when a round brings the largest factor less than a
-    thousandth nearer to 1, or after ``rounds``. Marginals that contradict each other, as when a source has one
-    language only, have no exact fit; the last round is returned.
+    factor differs from 1 by more than ``tolerance``, when ``PATIENCE`` rounds have not brought the largest factor a
+    thousandth nearer to 1 than it was at best (on the way to a fit it may grow for some rounds), or after ``rounds``.
+    Marginals that contradict each other, as when a source has one language only, have no exact fit; the last round
+    is returned, and a warning states how far off it is.
     """
     spark = found.sparkSession
     total = found.agg(F.sum("w")).first()[0] or 0.0
     path = new_path(spark, "raked")
     state = cut(found.withColumn("fitted", F.col("w")).withColumn("off", F.lit(0.0)), "raked", path)
-    last = float("inf")
+    best, since = float("inf"), 0
     for _ in range(rounds):
         step = state.withColumn("off", F.lit(0.0))
         for d in DIMS:
@@ -82,9 +89,11 @@ def rake(found: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -
         remove(spark, path)
         path = after
         off = state.agg(F.max("off")).first()[0] or 0.0
-        if off <= tolerance or off > 0.999 * last:
+        best, since = (off, 0) if off < 0.999 * best else (best, since + 1)
+        if off <= tolerance or since >= PATIENCE:
             break
-        last = off
+    if rounds and off > tolerance:
+        log.warning("raking: a factor is still %.3g off 1", off)
     return state.drop("off")
 
 

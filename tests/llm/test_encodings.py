@@ -276,6 +276,19 @@ def test_raking_against_plain_fitting(spark):
         assert r["fitted"] == pytest.approx(w[(r["source"], r["lang"], r["topic"])], rel=1e-4)
 
 
+def test_raking_goes_on_through_worse_rounds(spark):
+    """The largest factor is 8.2, 6.2, 4.0, 2.0, .75 and then 1.47 off before it converges in the 41st round."""
+    rng, cells = random.Random(286), {}
+    for _ in range(rng.randrange(8, 16)):
+        cells[(rng.choice("abcd"), rng.choice("xyz"), rng.choice("pqrs"))] = float(int(rng.paretovariate(0.4)))
+    fitted = mixing.rake(mixing.with_targets(spark.createDataFrame([(*k, w) for k, w in cells.items()], "source string, lang string, topic string, w double").coalesce(1))).collect()
+    total = sum(r["w"] for r in fitted)
+    for d in mixing.DIMS:
+        for v in {r[d] for r in fitted}:
+            rows = [r for r in fitted if r[d] == v]
+            assert sum(r["fitted"] for r in rows) == pytest.approx(rows[0][f"t_{d}"] * total, rel=1e-5)
+
+
 def test_probabilities_meet_the_budget(spark):
     cells = spark.createDataFrame([("a", 100.0, 10.0), ("b", 10.0, 80.0), ("c", 50.0, 70.0)], "source string, w double, fitted double")
     rows = mixing.probabilities(cells, 0.5).collect()
