@@ -35,14 +35,14 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``(page_id, digest, refers_to)`` of the rows that repeat another's payload.
+    """``(page_id, digest, n, refers_to)`` of the rows that repeat another's payload; ``n`` is its length.
 
     Among rows with equal payloads of ``min_bytes`` or more, those of the smallest page_id are
     responses and the others revisit it. Only ids and digests are shuffled, pre-aggregated by digest.
     """
     keyed = pages.select("page_id", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes)
     first = keyed.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return keyed.join(first, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    return keyed.join(first, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "digest", "n", "refers_to").distinct()
 
 
 def record(kind: str, page_id: Column, url: Column, digest: Column, block: Column, more: list[Column]) -> Column:
@@ -67,10 +67,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     The payload stays where it was scanned: only the table of revisits is joined to it, and Spark
     broadcasts that table when its size allows.
     """
-    again = cut(revisits(pages, min_bytes), "revisits").select(F.col("page_id").alias("_id"), "refers_to")
-    joined = pages.join(again, F.col("page_id") == F.col("_id"), "left")
+    again = cut(revisits(pages, min_bytes), "revisits").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("n").alias("_n"), "refers_to")
+    keyed = pages.select("page_id", "url", "payload", base32_sha1(F.col("payload")).alias("digest"))
+    joined = keyed.join(again, (F.col("page_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")) & (F.octet_length("payload") == F.col("_n")), "left")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
-    digest, key = base32_sha1(F.col("payload")), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    digest, key = F.col("digest"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     full = record("response", key, F.col("url"), digest, F.concat(http, F.col("payload")), [])
     refer = F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))
     short = record("revisit", key, F.col("url"), digest, http, [F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), refer])
@@ -159,7 +160,7 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def records(places: DataFrame) -> DataFrame:
-    """``places(file, size, at)`` -> parsed records with the length and digest of the payload as stored."""
+    """``places(file, size, at)`` -> parsed records with the length and digest of the payload as stored, and the digest that is stated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, source = None, None
@@ -174,17 +175,17 @@ def records(places: DataFrame) -> DataFrame:
                 sha, n = hashlib.sha1(), stop - block - skip
                 for low in range(block + skip, stop, READ_BYTES):
                     sha.update(source.read(low, min(READ_BYTES, stop - low)))
-                out.append((fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), n, base64.b32encode(sha.digest()).decode()))
-            kinds = [pa.string()] * 4 + [pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["id", "type", "refers", "url", "n", "digest"])
+                out.append((fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), n, base64.b32encode(sha.digest()).decode(), fields.get("warc-payload-digest", "").removeprefix("sha1:")))
+            kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["id", "type", "refers", "url", "n", "digest", "stated"])
 
-    return places.mapInArrow(run, "id string, type string, refers string, url string, n long, digest string")
+    return places.mapInArrow(run, "id string, type string, refers string, url string, n long, digest string, stated string")
 
 
 def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` of every record under ``path``.
 
-    Length and digest are of the full payload: a revisit has those of the response that it refers to.
+    Length and digest are of the full payload: a revisit has those of the response that it refers to and whose digest it states.
     A file whose records do not end exactly at its size is an error.
     """
     archives = files(spark, path)
@@ -198,9 +199,9 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
     places = chain.select("file", "size", "at")
     parts = places.repartition(F.col("file"), (F.col("at") / range_bytes).cast("long")).sortWithinPartitions("file", "at")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    parsed = cut(records(parts).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "url", "n", "digest"), "records")
-    source = parsed.where("type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("n").alias("full_n"), F.max_by("digest", "n").alias("full_digest"))
-    joined = parsed.where("type = 'revisit'").join(source, "refers_to", "left")
+    parsed = cut(records(parts).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "url", "n", "digest", "stated"), "records")
+    source = parsed.where("type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("digest").alias("stated")).agg(F.max("n").alias("full_n"))
+    joined = parsed.where("type = 'revisit'").join(source, ["refers_to", "stated"], "left").withColumn("full_digest", F.when(F.col("full_n").isNotNull(), F.col("stated")))
     again = joined.select("page_id", F.col("full_n").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url")
     return parsed.where("type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "url").unionAll(again)
 

@@ -124,6 +124,14 @@ def test_warc_small_payloads_are_responses(spark):
     assert warc.op5(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "A"), (2, "A"), (2, "B")], [(0, "B"), (1, "A"), (2, "A"), (2, "B")], [(1, "long A"), (1, "B"), (2, "B"), (3, "long A")]])
+def test_warc_ids_with_several_payloads(spark, rows):
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    want = db_of(pages=pages.toPandas()).execute(warc.ORACLE).fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in warc.op5(pages).collect()), key=key) == sorted(want, key=key)
+
+
 @pytest.mark.parametrize("url", ["x" * 70_000, " " * 150_000])
 def test_warc_long_headers(spark, url):
     pages = spark.createDataFrame([(1, "u", "first"), (2, url, "second"), (3, "u", "third")], "page_id long, url string, html string").coalesce(1)
