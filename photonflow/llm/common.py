@@ -41,6 +41,15 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of a table (a few longs each) that may be broadcast after they were counted.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A hint to broadcast where ``rows``, counted before, are few; else the join is left to shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonflow.llm.common import cut, new_path, remove
+from photonflow.llm.common import bounded, cut, new_path, remove
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,33 +42,38 @@ def components(edges: DataFrame) -> DataFrame:
 def block_components(rows: DataFrame, close: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame] | None = None, by_block: bool = False) -> DataFrame:
     """``rows(k, id, fp)``: ids that share a block ``k`` and are ``close`` are linked -> ``(id, component)``.
 
-    Exact without all pairs of a block. First each member meets three pivots of its block
-    (linear in the block). Then, only in blocks whose members are not yet in one component, the
+    Exact without all pairs of a block. Blocks of one member are left out first. Each member meets three pivots
+    of its block (linear in the block). Then, only in blocks whose members are not yet in one component, the
     members outside the block's commonest component meet the others, and just pairs from
     different components are kept. A dense group is in one component after the first step.
     ``verify`` may drop candidate pairs ``(a, b)`` by a costlier test. ``by_block`` draws other pivots in
-    each block: more pairs, for groups in which few members are linked to any one pivot.
+    each block: more pairs, for groups in which few members are linked to any one pivot. Rows must not repeat.
     """
     rows = rows.where("k is not null and id is not null")
     order = F.xxhash64("id", "k") if by_block else F.xxhash64("id")
-    pivots = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.min_by("fp", "id").alias("f0"), F.min_by("id", order).alias("p1"), F.min_by("fp", order).alias("f1"), F.max_by("id", order).alias("p2"), F.max_by("fp", order).alias("f2")).where("n > 1")
-    pivots = pivots.select("k", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{i}").alias("id"), F.col(f"f{i}").alias("fp")) for i in range(3))))).alias("p"))
-    near = rows.join(pivots, "k").where((F.col("id") != F.col("p.id")) & close(F.col("fp"), F.col("p.fp")))
+    ends = [(F.min("id"), F.min_by("fp", "id")), (F.min_by("id", order), F.min_by("fp", order)), (F.max_by("id", order), F.max_by("fp", order))]
+    pivots = rows.groupBy("k").agg(F.count("*").alias("n"), *(x.alias(f"{c}{i}") for i, end in enumerate(ends) for c, x in zip("pf", end)))
+    pivots = cut(pivots.where("n > 1"), "pivots")
+    blocks = cut(rows.join(bounded(pivots, pivots.count()), "k"), "blocks")
+    met = F.array_distinct(F.array(*(F.struct(F.col(f"p{i}").alias("id"), F.col(f"f{i}").alias("fp")) for i in range(len(ends)))))
+    near = blocks.select("id", "fp", F.explode(met).alias("p")).where((F.col("id") != F.col("p.id")) & close(F.col("fp"), F.col("p.fp")))
     near = near.select(F.greatest("id", F.col("p.id")).alias("a"), F.least("id", F.col("p.id")).alias("b")).distinct()
     first = cut(components(verify(near) if verify else near), "linked")
 
-    named = rows.join(first, "id", "left").select("k", "id", "fp", F.coalesce("component", "id").alias("c"))
-    named = cut(named.join(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 2").select("k"), "k", "left_semi"), "blocks")
-    mixed = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.mode("c").alias("most")).where("lo <> hi").select("k", "most")
-    some = named.join(mixed, "k").where("c <> most").select("k", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("c").alias("ca"))
-    rest = named.join(mixed.select("k"), "k").select("k", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("c").alias("cb"))
+    named = blocks.where("n > 2").select("k", "id", "fp").join(first, "id", "left").select("k", "id", "fp", F.coalesce("component", "id").alias("c"))
+    named = cut(named, "named-blocks")
+    parts = named.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("parts"), F.max_by("c", "n").alias("most"))
+    mixed = cut(parts.where("parts > 1").select("k", "most"), "mixed-blocks")
+    hint = lambda df: bounded(df, mixed.count())
+    some = named.join(hint(mixed), "k").where("c <> most").select("k", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("c").alias("ca"))
+    rest = named.join(hint(mixed.select("k")), "k").select("k", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("c").alias("cb"))
     pairs = some.join(rest, "k").where((F.col("ca") != F.col("cb")) & close(F.col("fa"), F.col("fb")))
     if verify:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.struct("ca", "cb")).otherwise(F.struct(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).alias("c")).distinct()
         pairs = verify(pairs).select("c.ca", "c.cb")
     over = cut(components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()), "joined")
-    ends = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
-    merged = first.join(ends, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    tops = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    merged = first.join(tops, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     lone = over.join(first, "id", "left_anti")
     return merged.unionAll(lone)
 
