@@ -39,15 +39,15 @@ def components(edges: DataFrame) -> DataFrame:
         path = after
 
 
-def block_components(rows: DataFrame, close: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame] | None = None, by_block: bool = False) -> DataFrame:
+def block_components(rows: DataFrame, close: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None, by_block: bool = False) -> DataFrame:
     """``rows(k, id, fp)``: ids that share a block ``k`` and are ``close`` are linked -> ``(id, component)``.
 
     Exact without all pairs of a block. Blocks of one member are left out first. Each member meets three pivots
     of its block (linear in the block). Then, only in blocks whose members are not yet in one component, the
     members outside the block's commonest component meet the others, and just pairs from
     different components are kept. A dense group is in one component after the first step.
-    ``verify`` may drop candidate pairs ``(a, b)`` by a costlier test. ``by_block`` draws other pivots in
-    each block: more pairs, for groups in which few members are linked to any one pivot. Rows must not repeat.
+    ``prepare``, given the ids that may be in pairs, returns a function that drops candidate pairs ``(a, b)`` by a
+    costlier test. ``by_block`` draws other pivots in each block: more pairs, for groups in which few members are linked to any one pivot. Rows must not repeat.
     """
     rows = rows.where("k is not null and id is not null")
     order = F.xxhash64("id", "k") if by_block else F.xxhash64("id")
@@ -55,6 +55,7 @@ def block_components(rows: DataFrame, close: Callable[[Column, Column], Column],
     pivots = rows.groupBy("k").agg(F.count("*").alias("n"), *(x.alias(f"{c}{i}") for i, end in enumerate(ends) for c, x in zip("pf", end)))
     pivots = cut(pivots.where("n > 1"), "pivots")
     blocks = cut(rows.join(bounded(pivots, pivots.count()), "k"), "blocks")
+    verify = prepare(blocks.select("id").distinct()) if prepare else None
     met = F.array_distinct(F.array(*(F.struct(F.col(f"p{i}").alias("id"), F.col(f"f{i}").alias("fp")) for i in range(len(ends)))))
     near = blocks.select("id", "fp", F.explode(met).alias("p")).where((F.col("id") != F.col("p.id")) & close(F.col("fp"), F.col("p.fp")))
     near = near.select(F.greatest("id", F.col("p.id")).alias("a"), F.least("id", F.col("p.id")).alias("b")).distinct()

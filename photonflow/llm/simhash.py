@@ -213,7 +213,7 @@ def similar_groups(features: DataFrame, texts: DataFrame, at_least: float = SIMI
         whole = cut(whole_shingles(texts.join(ends, "th", "left_semi")).dropDuplicates(["th"]), "whole-shingles")
         return both(likely, whole, "all").where(shingle_similarity("sa", "sb") >= at_least).select(*pairs.columns)
 
-    return block_components(rows.unionAll(blank), lambda a, b: F.lit(True), verify, by_block=True)
+    return block_components(rows.unionAll(blank), lambda a, b: F.lit(True), lambda ids: verify, by_block=True)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -282,9 +282,9 @@ def test_one_word_may_differ_in_a_fingerprint(spark):
         words = [f"w{rng.getrandbits(40)}" for _ in range(12)]
         rows = [(" ".join(words),)] + [(" ".join(words[:i] + ["zz"] + words[i + 1 :]),) for i in range(12)]
         docs = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id long, text string")
-        found = lines.occurrences(docs).selectExpr("h", "n", "brief", *lines.PRINT)
+        found = lines.occurrences(docs)
         blocks = {}
-        for r in lines.block_rows(found, found.where("brief is not null")).collect():
+        for r in lines.block_rows(found, found.where("brief is not null").select("h", "brief")).collect():
             blocks.setdefault(r["id"], set()).add(r["k"])
         first = found.first()["h"]
         assert len(blocks) == 13 and all(blocks[first] & b for b in blocks.values())
@@ -309,8 +309,7 @@ def test_lines_recall_on_a_table(spark):
     assert len(pairs) >= 20
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(sorted({x for p in pairs for x in p}))], "doc_id long, text string")
     found = lines.cut(lines.occurrences(docs), "lines")
-    distinct = found.selectExpr("h", "1 as c", "d as first", "n", *lines.PRINT)
-    group = {r["id"]: r["component"] for r in lines.fuzzy_groups(docs, found, distinct).collect()}
+    group = {r["id"]: r["component"] for r in lines.fuzzy_groups(docs, found, lines.distinct_lines(found)).collect()}
     name = {t: h for t, h in found.join(docs, found.d == docs.doc_id).select("text", "h").collect()}
     got = sum(group.get(name[a], name[a]) == group.get(name[b], name[b]) for a, b in pairs)
     assert got >= 0.9 * len(pairs), (got, len(pairs))
