@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from photonflow.llm.common import cut
 from photonflow.llm.ordered import with_guards
 
-#: Turns that order conversations before their ids.
-KEY_TURNS = 4
-
 
 def conversations(turns: DataFrame) -> DataFrame:
     """``(conv_id, turns)``: each conversation's turns in order; nulls are empty, equal numbers go by role and text."""
@@ -61,40 +59,40 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """Each conversation as chosen, with the next one as rejected; the last is followed by the first.
+def reply_pairs(turns: DataFrame) -> DataFrame:
+    """Each conversation up to its last reply as chosen; as rejected the same with the next conversation's last reply in its place.
 
-    Conversations are ordered by the digests of their first turns and then by id, so those that begin
-    alike are neighbours. A null conv_id is a conversation of its own.
+    A reply is an assistant's turn, or the last turn of a conversation that has none. Conversations follow each other
+    by id, a null id (one conversation) last; the last is followed by the first, and a single one by itself.
     """
-    whole = conversations(turns)
-    begin = F.array_join(F.transform(F.slice("turns", 1, KEY_TURNS), lambda t: F.md5(F.concat(t["role"], F.lit("\x1f"), t["text"]))), "")
-    order = F.coalesce(F.hex(F.col("conv_id").bitwiseXOR(F.lit(-(1 << 63)))), F.lit("null"))
-    keyed = whole.withColumn("key", F.concat_ws("/", begin, F.lpad(order, 16, "0")))
+    whole = cut(conversations(turns), "conversations")
+    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
+    ended = whole.withColumn("turns", F.slice("turns", 1, F.coalesce(last, F.size("turns"))))
+    key = F.coalesce(F.hex(F.col("conv_id").bitwiseXOR(F.lit(-(1 << 63)))), F.lit("~"))
+    keyed = ended.withColumns({"key": F.when(F.col("conv_id").isNull(), key).otherwise(F.lpad(key, 16, "0")), "reply": F.element_at("turns", -1)})
     following = W.partitionBy("_run").orderBy("_guard", "key")
-    nexts = with_guards(keyed, "key", []).withColumn("next", F.lead(F.struct("conv_id", "turns")).over(following)).where("not _guard")
-    return nexts.select(F.col("conv_id").alias("chosen_id"), F.col("next.conv_id").alias("rejected_id"), F.col("turns").alias("chosen"), F.col("next.turns").alias("rejected"))
+    nexts = with_guards(keyed, "key", []).withColumn("next", F.lead(F.struct("conv_id", "reply")).over(following)).where("not _guard")
+    rejected = F.concat(F.slice("turns", 1, F.size("turns") - 1), F.array("next.reply"))
+    return nexts.select(F.col("conv_id").alias("chosen_id"), F.col("next.conv_id").alias("rejected_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
 def op3(turns: DataFrame) -> DataFrame:
-    """One row per conversation: ids, number of common turns, prompt, completions and masks."""
-    return format_pairs(neighbour_pairs(turns))
+    """One row per conversation: its id and that of the rejected reply, number of common turns, prompt, completions and masks.
+
+    Rows that repeat a turn are turns of their own. Two equal replies leave two empty completions. An empty table gives no rows.
+    """
+    return format_pairs(reply_pairs(turns))
 
 
 ORACLE = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS txt FROM conversations),
-c AS (
-  SELECT conv_id, list(struct_pack(role := role, txt := txt) ORDER BY turn, role, txt) AS turns,
-         list(md5(role || chr(31) || txt) ORDER BY turn, role, txt) AS digests
-  FROM t GROUP BY conv_id
-),
-o AS (SELECT conv_id, turns, array_to_string(digests[1:4], '') AS k FROM c),
-p AS (
-  SELECT conv_id AS chosen_id, turns AS a,
-         coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS rejected_id,
-         coalesce(lead(turns) OVER w, first_value(turns) OVER w) AS b
-  FROM o WINDOW w AS (ORDER BY k, conv_id)
-),
+c AS (SELECT conv_id, list(struct_pack(role := role, txt := txt) ORDER BY turn, role, txt) AS turns FROM t GROUP BY conv_id),
+o AS (SELECT conv_id, turns[1:coalesce(list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')), len(turns))] AS turns FROM c),
+f AS (SELECT conv_id AS chosen_id, turns AS a,
+         CASE WHEN count(*) OVER w2 = count(*) OVER () THEN first_value(conv_id) OVER w ELSE lead(conv_id) OVER w END AS rejected_id,
+         coalesce(lead(turns[-1]) OVER w, first_value(turns[-1]) OVER w) AS reply
+  FROM o WINDOW w AS (ORDER BY conv_id NULLS LAST), w2 AS (ORDER BY conv_id NULLS LAST ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, list_concat(a[1:len(a) - 1], [reply]) AS b FROM f),
 n AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS n_prompt FROM p),
 r AS (SELECT *, a[1:n_prompt] AS pre, a[n_prompt + 1:] AS ra, b[n_prompt + 1:] AS rb FROM n),
 s AS (

@@ -1,14 +1,15 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
 
 The split keeps every character, so equal roots mean equal texts. Where roots differ, only
-branches with differing hashes are followed, which locates the edits. The likeness of two trees is
-the share of text in leaves that both have.
+branches with differing hashes are followed, aligned by their hashes, which locates the edits. The likeness
+of two trees is the share of text in branches that the alignment finds equal.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,39 +73,64 @@ def _node(kind: bytes, start: int, children: list[Node]) -> Node:
     return Node(_hash(kind, b"".join(c.digest for c in children)), start, sum(c.size for c in children), children)
 
 
-def differences(a: Node, b: Node) -> Iterator[tuple[int, int]]:
-    """(start, size) in ``a`` of the lowest branches without an equal branch at their place in ``b``."""
-    if a.digest == b.digest:
-        return
-    if not a.children or not b.children:
-        yield a.start, a.size
+def _anchors(a: list[Node], b: list[Node]) -> Iterator[tuple[int, int]]:
+    """Places of equal children in ascending order: common beginnings and ends, and between them the longest ascending run of those that occur once in both."""
+    first, ends = 0, min(len(a), len(b))
+    while first < ends and a[first].digest == b[first].digest:
+        yield first, first
+        first += 1
+    last = 0
+    while last < ends - first and a[-1 - last].digest == b[-1 - last].digest:
+        last += 1
+    i, j = len(a) - last, len(b) - last
+    once = [Counter(x.digest for x in part) for part in (a[first:i], b[first:j])]
+    at = {x.digest: k for k, x in enumerate(b[first:j], first) if once[1][x.digest] == 1}
+    pairs = [(k, at[x.digest]) for k, x in enumerate(a[first:i], first) if once[0][x.digest] == 1 and x.digest in at]
+    tops, rows, before = [], [], []
+    for n, (_, y) in enumerate(pairs):
+        k = bisect_left(tops, y)
+        tops[k : k + 1], rows[k : k + 1] = [y], [n]
+        before.append(rows[k - 1] if k else -1)
+    n, run = rows[-1] if rows else -1, []
+    while n >= 0:
+        run.append(pairs[n])
+        n = before[n]
+    yield from reversed(run)
+    yield from zip(range(i, len(a)), range(j, len(b)))
+
+
+def aligned(a: Node, b: Node) -> Iterator[tuple[Node | None, Node | None, int]]:
+    """Lowest branches of both in order, each with its counterpart or None, and where in ``a`` it stands.
+
+    Equal children are counterparts; what stands between two pairs of these is paired in order and compared in the same way.
+    """
+    if a.digest == b.digest or not a.children or not b.children:
+        yield a, b, a.start
         return
-    n = min(len(a.children), len(b.children))
-    for x, y in zip(a.children, b.children):
-        yield from differences(x, y)
-    for x in a.children[n:]:
-        yield x.start, x.size
-    if len(b.children) > n and len(a.children) == n:
-        yield a.start + a.size, 0
-
-
-def leaves(root: Node) -> Counter:
-    """Characters in leaves, by digest."""
-    out: Counter = Counter()
-    for section in root.children:
-        for paragraph in section.children:
-            for leaf in paragraph.children:
-                out[leaf.digest] += leaf.size
-    return out
+    i = j = 0
+    for x, y in [*_anchors(a.children, b.children), (len(a.children), len(b.children))]:
+        for k in range(max(x - i, y - j)):
+            left, right = a.children[i + k] if i + k < x else None, b.children[j + k] if j + k < y else None
+            if left and right:
+                yield from aligned(left, right)
+            else:
+                yield left, right, left.start if left else a.children[x].start if x < len(a.children) else a.start + a.size
+        if x < len(a.children):
+            yield a.children[x], b.children[y], a.children[x].start
+        i, j = x + 1, y + 1
+
+
+def differences(a: Node, b: Node) -> Iterator[tuple[int, int]]:
+    """(start, size) in ``a`` of the lowest branches that have no equal counterpart in ``b``; size 0 where ``b`` has more."""
+    for x, y, start in aligned(a, b):
+        if not (x and y and x.digest == y.digest):
+            yield start, x.size if x else 0
 
 
-def likeness(a: Counter, b: Counter) -> float:
-    """Share of the characters of both texts that are in common leaves: 1 for equal trees, also empty ones."""
-    total = a.total() + b.total()
-    if not total:
-        return 1.0
-    few, many = (a, b) if len(a) <= len(b) else (b, a)
-    return 2 * sum(min(n, many[k]) for k, n in few.items() if k in many) / total
+def likeness(a: Node, b: Node) -> float:
+    """Share of the characters of both texts that are in branches with an equal counterpart: 1 for equal trees, also empty ones."""
+    total = a.size + b.size
+    return 2 * sum(x.size for x, y, _ in aligned(a, b) if x and y and x.digest == y.digest) / total if total else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -119,7 +145,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of whole runs in order; each row is compared with the row after it in its run."""
-    last = None  # run, doc_id, text, root, leaves; a run's guards after the first say nothing new
+    last = None  # run, doc_id, text, root; a run's guards after the first say nothing new
     for batch in batches:
         out = []
         for run, guard, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
@@ -127,12 +153,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if guard and (last is None or last[0] != run):
                 continue
             root = tree(text)
-            now = (run, doc_id, text, root, leaves(root))
+            now = (run, doc_id, text, root)
             if last and last[0] == run:
                 other = edited(last[2], text)
                 its = tree(other)
                 first = next(differences(last[3], its), (None, 0))[0]
-                out.append((last[1], len(last[2]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), last[3].digest.hex(), its.digest.hex(), likeness(last[4], leaves(its)), likeness(last[4], now[4]), first))
+                out.append((last[1], len(last[2]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), last[3].digest.hex(), its.digest.hex(), likeness(last[3], its), likeness(last[3], root), first))
             last = None if guard else now
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_KINDS)], NAMES)
 

@@ -12,7 +12,6 @@ import logging
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from photonflow.llm.common import cut, new_path, packed, remove, unpacked
 
@@ -68,7 +67,7 @@ def with_targets(found: DataFrame, powers: dict[str, float] = POWERS) -> DataFra
 def rake(found: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """``found(dims, w, t_<dim>)`` -> the same with ``fitted``, whose marginals are ``t_<dim>`` of the total.
 
-    One round scales by each dimension in turn and is written to the shared folder; it ends when no
+    One round scales by each dimension in turn, by sums that are pre-aggregated by category, and is written to the shared folder; it ends when no
     factor differs from 1 by more than ``tolerance``, when ``PATIENCE`` rounds have not brought the largest factor a
     thousandth nearer to 1 than it was at best (on the way to a fit it may grow for some rounds), or after ``rounds``.
     Marginals that contradict each other, as when a source has one language only, have no exact fit; the last round
@@ -82,7 +81,8 @@ def rake(found: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -
     for _ in range(rounds):
         step = state.withColumn("off", F.lit(0.0))
         for d in DIMS:
-            step = step.withColumn("_f", F.col(f"t_{d}") * total / F.sum("fitted").over(W.partitionBy(d)))
+            sums = step.groupBy(d).agg(F.sum("fitted").alias("_sum"))
+            step = step.join(sums, d).withColumn("_f", F.col(f"t_{d}") * total / F.col("_sum")).drop("_sum")
             step = step.withColumn("fitted", F.col("fitted") * F.col("_f")).withColumn("off", F.greatest("off", F.abs(F.col("_f") - 1))).drop("_f")
         after = new_path(spark, "raked")
         state = cut(step, "raked", after)

@@ -25,6 +25,8 @@ END = b"\r\n\r\n"
 HEADER_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
+#: Tasks of a stage at most; each then takes several ranges.
+MAX_TASKS = 50_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -190,14 +192,15 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
     """
     archives = files(spark, path)
     ranges = archives.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    links = cut(candidates(ranges.repartition(F.col("file"), F.col("start")), range_bytes), "links")
+    tasks = min(MAX_TASKS, archives.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1)  # stated, as the few bytes of a range's name say nothing of its work
+    links = cut(candidates(ranges.repartition(tasks, F.col("file"), F.col("start")), range_bytes), "links")
     chain = links.join(reachable(links), ["file", "at"])
     ends = chain.groupBy("file").agg(F.max("next").alias("end"))
     torn = archives.join(ends, "file", "left").where("end is null or end <> size").select("file", "size", "end").limit(10).collect()
     if torn:
         raise ValueError("records do not reach the end of " + ", ".join(f"{r['file']} ({r['end']} of {r['size']} bytes)" for r in torn))
     places = chain.select("file", "size", "at")
-    parts = places.repartition(F.col("file"), (F.col("at") / range_bytes).cast("long")).sortWithinPartitions("file", "at")
+    parts = places.repartition(tasks, F.col("file"), (F.col("at") / range_bytes).cast("long")).sortWithinPartitions("file", "at")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     parsed = cut(records(parts).select(number("id").alias("page_id"), "type", number("refers").alias("refers_to"), "url", "n", "digest", "stated"), "records")
     source = parsed.where("type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("digest").alias("stated")).agg(F.max("n").alias("full_n"))

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from photonflow.llm import bpe, chat, media, merkle, mixing, ordered, rollup, warc
-from photonflow.llm.common import new_path
+from photonflow.llm.common import cut, new_path
 from tests.llm.helpers import edge_docs, edge_rows, empty_docs
 
 P = pytest.importorskip("public_tokenizers")
@@ -159,17 +159,64 @@ def test_chain_ends_at_a_gap(spark):
 def test_merkle_tree():
     t = "# A\nOne. Two!\nThree\n\n# B\nFour? " + "x" * 2000 + "\n"
     root = merkle.tree(t)
-    assert root.size == len(t) and sum(merkle.leaves(root).values()) == len(t) and len(root.children) == 2
+    assert root.size == len(t) and len(root.children) == 2
     assert merkle.tree(t).digest == root.digest != merkle.tree(t + " ").digest
     changed = t.replace("Two", "Tww")
     assert list(merkle.differences(root, merkle.tree(changed))) == [(t.index("Two"), 5)]
-    assert merkle.likeness(merkle.leaves(root), merkle.leaves(root)) == 1.0
-    assert 0.9 < merkle.likeness(merkle.leaves(root), merkle.leaves(merkle.tree(changed))) < 1
+    assert merkle.likeness(root, root) == 1.0
+    assert 0.9 < merkle.likeness(root, merkle.tree(changed)) < 1
     empty = merkle.tree("")
-    assert merkle.likeness(merkle.leaves(empty), merkle.leaves(empty)) == 1.0 and merkle.likeness(merkle.leaves(empty), merkle.leaves(root)) == 0.0
+    assert merkle.likeness(empty, empty) == 1.0 and merkle.likeness(empty, root) == 0.0
     assert list(merkle.differences(root, root)) == []
 
 
+def test_merkle_alignment():
+    rng = random.Random(2)
+    said = [f"Sentence {i} says {rng.getrandbits(30)}. " for i in range(50)]
+    a, front = merkle.tree("".join(said)), merkle.tree("Put in front. " + "".join(said))
+    assert list(merkle.differences(a, front)) == [(0, 0)] and list(merkle.differences(front, a)) == [(0, 14)]
+    shuffled = rng.sample(said, 50)
+    assert 0 < merkle.likeness(a, merkle.tree("".join(shuffled))) < 0.6
+    text = "\n\n".join("".join(said[i : i + 10]) for i in range(0, 50, 10))
+    for _ in range(40):  # one sentence goes, comes or changes: one place, and that one
+        i = 10 * rng.randrange(5) + rng.randrange(9)  # the last of a section ends with its empty line, which would pass to another
+        at = text.index(said[i])
+        for new in ("", "A new one. " + said[i], said[i].replace("says", "said")):
+            places = list(merkle.differences(merkle.tree(text), merkle.tree(text[:at] + new + text[at + len(said[i]) :])))
+            assert len(places) <= 2 and at - 1 <= places[0][0] <= at + len(said[i]), (places, at)
+    same = "Again. " * 20_000
+    assert merkle.likeness(merkle.tree(same), merkle.tree(same + "End.")) > 0.99
+
+
+def plain_root(text):
+    """The root's digest from its definition, by recursion over the parts: sections, lines, sentences of at most 512 characters."""
+    digest = lambda kind, data: hashlib.blake2b(data, digest_size=16, person=kind).digest()
+    sections, begun = [], 0
+    for i in range(1, len(text) + 1):
+        if i == len(text) or (text[i - 1] == "\n" and ((text[i] == "#" and text[i:].lstrip("#")[:1] == " " and len(text[i:]) - len(text[i:].lstrip("#")) <= 6) or (text[i] != "\n" and text[:i].rstrip(" \t\r\n").count("\n") < text[:i].count("\n") - 1))):
+            sections.append(text[begun:i])
+            begun = i
+    out = b""
+    for section in sections:
+        lines = b""
+        for line in section.splitlines(keepends=True):
+            said, last = [], ""
+            for c in line:
+                if last and last.rstrip()[-1:] in (".", "!", "?") and last.rstrip() and not c.isspace() and (c not in ".!?" or last[-1].isspace()):
+                    said.append(last)
+                    last = ""
+                last += c
+            leaves = [x[i : i + 512] for x in [*said, last] for i in range(0, len(x), 512)]
+            lines += digest(b"paragraph", b"".join(digest(b"leaf", x.encode()) for x in leaves))
+        out += digest(b"section", lines)
+    return digest(b"root", out)
+
+
+@pytest.mark.parametrize("t", ["", "One.", "One. Two!  Three?\nFour", "A b c.\n\nD. E\n\n\nF", "Head\n# Title x\nBody. More.\n## Next\nEnd", "x" * 1300 + ". y", "Wait... what?! Yes."])
+def test_merkle_root_by_definition(t):
+    assert merkle.tree(t).digest == plain_root(t)
+
+
 @pytest.mark.parametrize("parts", ["1", "4"])
 def test_op7_follows_the_order(spark, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -183,7 +230,7 @@ def test_op7_follows_the_order(spark, parts):
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
         e = merkle.edited(t, after)
         a, b, c = (merkle.tree(x) for x in (t, e, after))
-        want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), a.digest.hex(), b.digest.hex(), merkle.likeness(merkle.leaves(a), merkle.leaves(b)), merkle.likeness(merkle.leaves(a), merkle.leaves(c))))
+        want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), a.digest.hex(), b.digest.hex(), merkle.likeness(a, b), merkle.likeness(a, c)))
     assert sorted((str(r[0]), *r[1:7]) for r in got) == sorted(want)
     assert merkle.op7(empty_docs(spark)).count() == 0
 
@@ -221,8 +268,12 @@ def test_chat_against_sql(spark, rows):
 
 def test_chat_masks_and_prefix(spark):
     got = {(r["chosen_id"], r["rejected_id"]): r for r in chat.op3(spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")).collect()}
-    same = got[(1, 3)]
-    assert same["n_prompt"] == 2 and same["chosen"] == "" == same["chosen_mask"]
+    assert sorted((k[0] for k in got)) == [-1, 1, 2, 3, 4, 5, 6] and got[(6, -1)]["n_prompt"] == 0
+    one, two = got[(1, 2)], got[(2, 3)]
+    assert (one["n_prompt"], one["prompt"], one["chosen"], one["rejected"]) == (1, "<|user|>\nhi<|end|>\n", "<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n")
+    assert two["n_prompt"] == 1 and "why" not in two["chosen"]  # what follows the last reply belongs to neither
+    alone = chat.op3(spark.createDataFrame([(7, 0, "user", "q"), (7, 0, "user", "q"), (7, 1, "assistant", "long " * 50_000)], "conv_id long, turn long, role string, text string")).first()
+    assert (alone["rejected_id"], alone["n_prompt"], alone["chosen"], alone["chosen_mask"]) == (7, 3, "", "")
     for r in got.values():
         for side in ("chosen", "rejected"):
             said = [r[side][int(a) : int(b)] for a, b in (x.split("-") for x in r[f"{side}_mask"].split(",") if x)]
@@ -238,10 +289,21 @@ def test_ledger_is_idempotent(spark):
     assert total() == {("a", "en"): (2, 12), (None, None): (1, 0)}
     assert ledger.apply("two", rollup.revised(rows.where("n = 5"), F.col("n"), F.lit(9)))
     assert total()[("a", "en")] == (2, 16)
-    spark.range(1).write.parquet(f"{ledger.path}/deltas/half-done")  # written, but not committed
+    cut(ledger.totals(), "x", f"{ledger.path}/deltas/half-done/0")  # written, but not committed
     assert total()[("a", "en")] == (2, 16)
-    assert ledger.apply("three", rollup.signed(rows.where("n is null"), -1, F.col("n"))) and (None, None) not in total()
-    assert ledger.apply("four", rollup.signed(rows.limit(0), 1, F.col("n"))) and len(ledger.committed()) == 4
+    assert ledger._create("commits/half-done") and total()[("a", "en")] == (4, 32)  # a run that ended right after its marker
+    assert not ledger.apply("half-done", rows) and ledger.apply("undo", rollup.signed(rows.where("n is not null"), -1, F.col("n") + 2))
+    before, names = total(), sorted(ledger.committed())
+    ledger._fs.mkdirs(ledger._hadoop(f"{ledger.path}/snapshots/000000000/totals"))  # a compaction that ended early
+    assert total() == before
+    ledger.compact()
+    assert total() == before and ledger.committed() == {} and not any(ledger.apply(b, rows) for b in names)
+    assert ledger._create("commits/one") and total() == before  # a marker that a compaction left behind
+    ledger.compact()
+    assert total() == before == {("a", "en"): (2, 16), (None, None): (2, 0)}
+    nothing = rows.where("n is null")
+    assert ledger.apply("three", rollup.signed(nothing.unionAll(nothing), -1, F.col("n"))) and (None, None) not in total()
+    assert ledger.apply("four", rollup.signed(rows.limit(0), 1, F.col("n"))) and len(ledger.committed()) == 2
     with pytest.raises(ValueError):
         ledger.apply("../x", rows)
 
