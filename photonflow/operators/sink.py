@@ -29,17 +29,18 @@ class Store:
         p = self._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _versions(self, table: str) -> list[int]:
+    def _versions(self, table: str) -> dict[int, bool]:
+        """Numbers of all versions in ascending order, and whether each is complete."""
         fs, p = self._path(f"{self.root}/{table}")
         if not fs.exists(p):
-            return []
-        found = [s.getPath() for s in fs.listStatus(p)]
-        done = [x.getName() for x in found if fs.exists(self._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if n[:1] == "v" and n[1:].isdigit())
+            return {}
+        found = {s.getPath().getName(): s.getPath() for s in fs.listStatus(p)}
+        numbers = sorted(int(n[1:]) for n in found if n[:1] == "v" and n[1:].isdigit())
+        return {n: fs.exists(self._jvm.org.apache.hadoop.fs.Path(found[f"v{n}"], "_SUCCESS")) for n in numbers}
 
     def read(self, table: str, schema: T.StructType = OUTPUT) -> DataFrame:
-        versions = self._versions(table)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
+        complete = [n for n, done in self._versions(table).items() if done]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{complete[-1]}") if complete else self.spark.createDataFrame([], schema)
 
     def put(self, table: str, rows: DataFrame, schema: T.StructType = OUTPUT) -> None:
         """Replace or add rows by ``rel_path`` and remove all but the last two versions."""
@@ -52,9 +53,10 @@ class Store:
         self._write(table, self.read(table, schema).join(keys.select("rel_path"), "rel_path", "left_anti"))
 
     def _write(self, table: str, rows: DataFrame) -> None:
+        """Write the version after all that are there, complete or not; then the older ones go, but for the newest complete one."""
         versions = self._versions(table)
-        rows.write.parquet(f"{self.root}/{table}/v{versions[-1] + 1 if versions else 0}")
-        for old in versions[:-1]:
+        rows.write.parquet(f"{self.root}/{table}/v{max(versions, default=-1) + 1}")
+        for old in set(versions) - {max((n for n, done in versions.items() if done), default=-1)}:
             fs, p = self._path(f"{self.root}/{table}/v{old}")
             fs.delete(p, True)
 

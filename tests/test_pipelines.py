@@ -132,6 +132,10 @@ def test_store_versions(spark, tmp_path):
     assert {r["rel_path"]: r["text"] for r in store.read("t").collect()} == {"a": "1", "b": "3"}
     os.remove(tmp_path / "store/t/v1/_SUCCESS")  # a version that was not completed does not count
     assert {r["rel_path"]: r["text"] for r in store.read("t").collect()} == {"a": "1", "b": "2"}
+    store.put("t", spark.createDataFrame([("c", "4")], OUTPUT))  # goes on after it, and clears it away later
+    assert {r["rel_path"]: r["text"] for r in store.read("t").collect()} == {"a": "1", "b": "2", "c": "4"}
+    store.put("t", spark.createDataFrame([("c", "5")], OUTPUT))
+    assert {r["rel_path"]: r["text"] for r in store.read("t").collect()} == {"a": "1", "b": "2", "c": "5"} and len(os.listdir(tmp_path / "store/t")) == 2
 
 
 def test_sidecars(spark, tmp_path):
