@@ -284,12 +284,30 @@ def test_one_word_may_differ_in_a_fingerprint(spark):
         docs = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id long, text string")
         found = lines.occurrences(docs)
         blocks = {}
-        for r in lines.block_rows(found, found.where("brief is not null").select("h", "brief")).collect():
+        for r in lines.block_rows(found, found.where("brief is not null").select("h", "brief"), found.where("wide is not null").select("h", "wide")).collect():
             blocks.setdefault(r["id"], set()).add(r["k"])
         first = found.first()["h"]
         assert len(blocks) == 13 and all(blocks[first] & b for b in blocks.values())
 
 
+def test_long_lines_share_blocks_only_if_they_are_similar(spark):
+    """Lines of many words from one small vocabulary: each meets its copies with three words in a hundred changed, and few others."""
+    rng, rows = random.Random(6), []
+    vocabulary = [f"w{rng.getrandbits(30)}" for _ in range(300)]
+    for i in range(20):
+        line = " ".join(rng.choice(vocabulary) for _ in range(230 + 60 * (i % 4)))
+        rows += [(2 * i, line), (2 * i + 1, edited(rng, line, len(line.split(" ")) * 3 // 100))]
+    found = lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string"))
+    wides = found.where("wide is not null").select("h", "wide")
+    ids = {r["h"]: r["d"] for r in found.collect()}
+    blocks = {}
+    for r in lines.block_rows(lines.distinct_lines(found), found.where("brief is not null").select("h", "brief"), wides).collect():
+        blocks.setdefault(ids[r["id"]], set()).add(r["k"])
+    assert sum(bool(blocks[2 * i] & blocks[2 * i + 1]) for i in range(20)) >= 18
+    others = sum(bool(blocks[a] & blocks[b]) for a in range(40) for b in range(a) if a // 2 != b // 2 and min(len(rows[x][1].split(" ")) for x in (a, b)) >= 256)
+    assert others <= 2
+
+
 def table_pairs():
     """Distinct normalised lines of 15 to 400 characters of a supplied table, and those pairs that are similar by brute force over edit distance."""
     import duckdb
