@@ -33,25 +33,26 @@ def path_ranks(items: DataFrame, key: str = "rel_path") -> DataFrame:
     return runs.withColumn("_local", local).join(F.broadcast(base), "_run").withColumn("rank", F.col("_before") + F.col("_local")).drop("_run", "_local", "_before")
 
 
-def candidates(ranked: DataFrame, reach: int) -> DataFrame:
-    """``(target, item)`` structs of rows up to ``reach`` ranks apart, by an equi-join on blocks of ranks."""
+def candidates(ranked: DataFrame, reach: int, wanted: DataFrame | None = None) -> DataFrame:
+    """``(target, item)`` structs of rows up to ``reach`` ranks apart, by an equi-join on blocks of ranks; targets are ``wanted`` rows, or all."""
     row = F.struct("rel_path", "datetime_min", "datetime_max", "rank")
     block = F.floor(F.col("rank") / reach).cast("long")
-    targets = ranked.select(row.alias("target"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    targets = (ranked if wanted is None else wanted).select(row.alias("target"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     items = ranked.select(row.alias("item"), block.alias("block"))
     apart = F.abs(F.col("target.rank") - F.col("item.rank"))
     return targets.join(items, "block").where(apart.between(1, reach)).drop("block")
 
 
-def nearest(items: DataFrame, k: int, window_days: int | None = None) -> DataFrame:
+def nearest(items: DataFrame, k: int, window_days: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """``(rel_path, item, score_min, score_max, place)``: up to ``k`` items by distance of their farther ends in time, then path.
 
     Candidates are the 2k rows before and after in path order; rows without a time are no candidates
-    and have none.
+    and have none. ``targets(rel_path)`` are the rows that context is wanted for, all if not given.
     """
     ranked = path_ranks(items.select("rel_path", "datetime_min", "datetime_max"))
     score = proximity(F.col("target.datetime_min"), F.col("target.datetime_max"), F.col("item.datetime_min"), F.col("item.datetime_max"))
-    scored = candidates(ranked, 2 * k).withColumn("s", score).where(F.col("s.score_max") < float("inf"))
+    wanted = None if targets is None else ranked.join(targets.select("rel_path"), "rel_path", "left_semi")
+    scored = candidates(ranked, 2 * k, wanted).withColumn("s", score).where(F.col("s.score_max") < float("inf"))
     if window_days is not None:
         scored = scored.where(F.col("s.score_max") <= window_days * 86400.0)
     rows = scored.select(F.col("target.rel_path").alias("rel_path"), F.col("item.rel_path").alias("item"), "s.score_min", "s.score_max")

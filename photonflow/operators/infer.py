@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from photonflow.functions.geo import full_address
 from photonflow.functions.text import clean_reply
+from photonflow.operators.ordering import in_order
 from photonflow.operators.tables import stable
 from photonflow.services.geocoder import Geocoder, with_retries
 from photonflow.services.model import ModelClient
 
 
-def ask_model(rows: DataFrame, factory: Callable[[], ModelClient], model: str, partitions: int, image: str | None = None, clean: bool = True, context_length: int | None = None) -> DataFrame:
+def ask_model(rows: DataFrame, factory: Callable[[], ModelClient], model: str, partitions: int, image: str | None = None, clean: bool = True, context_length: int | None = None, order: str | None = None) -> DataFrame:
     """``rows`` with ``raw_output``, ``content`` and ``error``, asked once for each row's ``prompt`` and image path.
 
-    ``partitions`` caps how many clients are open. An empty reply is an error.
+    ``partitions`` caps how many clients are open. An empty reply is an error. ``order`` is that in which each
+    client is asked, by the rows' ``dir``, ``depth`` and ``name``; without it rows are dealt out evenly.
     """
     keep = rows.columns
 
@@ -35,7 +37,8 @@ def ask_model(rows: DataFrame, factory: Callable[[], ModelClient], model: str, p
         finally:
             client.close()
 
-    asked = rows.select("rel_path", "prompt", *([image] if image else [])).repartition(partitions)
+    needed = ["rel_path", "prompt", *([image] if image else [])]
+    asked = in_order(rows.select(*needed, "dir", "depth", "name"), order, partitions) if order else rows.select(*needed).repartition(partitions)
     answers = stable(asked.mapInPandas(run, "rel_path string, raw_output string, error string"), "answers")
     content = clean_reply(F.col("raw_output")) if clean else F.col("raw_output")
     return rows.select(*keep).join(answers, "rel_path").withColumn("content", content)

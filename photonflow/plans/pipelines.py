@@ -13,7 +13,6 @@ from photonflow.functions.geo import written_address
 from photonflow.functions.stats import DONE, FAILED, REJECTED, stage_stats, stats_line
 from photonflow.operators import context, infer, lookup, metadata, prompt, repair
 from photonflow.operators.links import links
-from photonflow.operators.ordering import in_order
 from photonflow.operators.sink import Store, write_sidecars
 from photonflow.operators.tables import stable
 from photonflow.schema import ERRORS
@@ -44,7 +43,7 @@ class Run:
 
     def todo(self, name: str, images: DataFrame) -> DataFrame:
         c = self.config
-        return in_order(lookup.pending(images, self.store.read(name), self.store.read(f"{name}_errors", ERRORS), c.retry, c.retry_failed, c.compat), c.sort_order)
+        return lookup.pending(images, self.store.read(name), self.store.read(f"{name}_errors", ERRORS), c.retry, c.retry_failed, c.compat)
 
     def finish(self, name: str, rows: DataFrame) -> DataFrame:
         """Store ``rows(rel_path, text, error)`` once; -> outcome of each."""
@@ -71,8 +70,9 @@ def describe(run: Run) -> DataFrame:
     c = run.config
     rows = metadata.with_metadata(run.todo("describe", run.images()), run.geocodes())
     m = lambda name: F.col(f"metadata.{name}")
-    asked = rows.select("rel_path", "metadata", "preferred", prompt.describe_prompt(c.prompt, m("datetime"), m("location_str"), m("camera"), m("filename"), c.compat).alias("prompt"))
-    answered = infer.ask_model(asked, run.services.vision, c.model, c.model_partitions, image="preferred", clean=False)
+    asked = rows.select("rel_path", "dir", "depth", "name", "metadata", "preferred", prompt.describe_prompt(c.prompt, m("datetime"), m("location_str"), m("camera"), m("filename"), c.compat).alias("prompt"))
+    asked = stable(asked, "asked")  # it is read twice, and reads every image's head
+    answered = infer.ask_model(asked, run.services.vision, c.model, c.model_partitions, image="preferred", clean=False, order=c.sort_order)
     text = prompt.output_text(c.output_format, F.col("content"), m("datetime"), m("location_str"), m("camera"), m("filename"))
     return run.finish("describe", answered.withColumn("text", text))
 
@@ -87,13 +87,13 @@ def enhance(run: Run) -> DataFrame:
     told = stable(metadata.with_metadata(known, run.geocodes()), "metadata")
     items = told.select("rel_path", "description", F.col("metadata.datetime_min").alias("datetime_min"), F.col("metadata.datetime_max").alias("datetime_max"))
     todo = run.todo("enhance", told)
-    near = context.nearest(items, c.max_context_items, c.context_window_days)
+    near = context.nearest(items, c.max_context_items, c.context_window_days, todo.where("description is not null"))
     arrays = context.context_arrays(near, items.select("rel_path", "description"), c.compat)
     rows = todo.where("description is not null").join(arrays, "rel_path", "left")
     texts = F.transform(F.coalesce("context", F.array().cast("array<struct<place:int,item:string,score_min:double,score_max:double,description:string>>")), lambda x: x["description"])
     section = context.context_section(texts, c.context_template, c.context_item_template, c.max_context_in_prompt, c.context_item_max_length, c.max_context_length, c.compat)
-    asked = rows.select("rel_path", "metadata", prompt.enhance_prompt(c.enhance_prompt, section, F.col("description")).alias("prompt"))
-    answered = stable(infer.ask_model(asked, run.services.text, c.enhance_model, c.model_partitions, context_length=c.model_context_length), "enhanced")
+    asked = rows.select("rel_path", "dir", "depth", "name", "metadata", prompt.enhance_prompt(c.enhance_prompt, section, F.col("description")).alias("prompt"))
+    answered = stable(infer.ask_model(asked, run.services.text, c.enhance_model, c.model_partitions, context_length=c.model_context_length, order=c.sort_order), "enhanced")
     if c.debug:
         run.store.put("enhance_input", answered.select("rel_path", F.col("prompt").alias("text")))
         run.store.put("enhance_output", answered.select("rel_path", F.col("raw_output").alias("text")))

@@ -102,7 +102,11 @@ class TreeReader(DataSourceReader):
             path = os.path.join(folder, name)
             base, ext = os.path.splitext(name)
             if os.path.isfile(path) and (not self.extensions or ext.lower() in self.extensions):
-                info = os.stat(path)
+                try:
+                    info = os.stat(path)
+                except OSError as e:  # gone since it was listed
+                    out.append((path, prefix + name, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
                 out.append((path, prefix + name, folder, name, base, ext, path.count(os.sep), info.st_size, info.st_mtime, None))
         return out
 
