@@ -9,7 +9,7 @@ number of fingerprints. Every choice finds every link.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonflow.llm.common import cut, packed, unpacked
+from photonflow.llm.common import cut, new_path, packed, scratch, unpacked
 from photonflow.llm.graph import block_components
 
 SEED = 42
@@ -196,24 +196,30 @@ def similar_groups(features: DataFrame, texts: DataFrame, at_least: float = SIMI
 
     ``texts(th, text)`` has the text of each; only those of likely pairs are read, and compared as a whole.
     """
-    nodes = cut(features.groupBy("th").agg(F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = cut(features.groupBy("th").agg(F.any_value("mins").alias("mins"), F.max(F.size("sketch")).alias("n")), "nodes")
     keys = F.array(*(F.xxhash64(F.lit(j), *(F.get("mins", F.lit(i)) for i in c)) for j, c in enumerate(CHOICES)))
-    rows = nodes.where(F.size("sketch") > 0).select(F.explode(keys).alias("k"), F.col("th").alias("id"), F.lit(0).alias("fp"))
-    blank = nodes.where(F.size("sketch") == 0).select(F.lit(0).cast("long").alias("k"), F.col("th").alias("id"), F.lit(0).alias("fp"))
+    rows = nodes.where("n > 0").select(F.explode(keys).alias("k"), F.col("th").alias("id"), F.lit(0).alias("fp"))
+    blank = nodes.where("n = 0").select(F.lit(0).cast("long").alias("k"), F.col("th").alias("id"), F.lit(0).alias("fp"))
 
     def both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
         for end in "ab":
             pairs = pairs.join(of.select(F.col("th").alias(end), F.col(column).alias(f"s{end}")), end)
         return pairs
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = both(pairs, nodes, "sketch").where(shingle_similarity("sa", "sb", SKETCH) >= at_least - MARGIN)
-        likely = cut(likely.select(*pairs.columns), "likely-pairs")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-        whole = cut(whole_shingles(texts.join(ends, "th", "left_semi")).dropDuplicates(["th"]), "whole-shingles")
-        return both(likely, whole, "all").where(shingle_similarity("sa", "sb") >= at_least).select(*pairs.columns)
+    def prepare(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        wanted = features.select("th", "sketch").join(ids.withColumnRenamed("id", "th"), "th", "left_semi")
+        sketches = cut(wanted.dropDuplicates(["th"]), "sketches")  # most texts share no block: their sketches are never shuffled
 
-    return block_components(rows.unionAll(blank), lambda a, b: F.lit(True), lambda ids: verify, by_block=True)
+        def verify(pairs: DataFrame) -> DataFrame:
+            likely = both(pairs, sketches, "sketch").where(shingle_similarity("sa", "sb", SKETCH) >= at_least - MARGIN)
+            likely = cut(likely.select(*pairs.columns), "likely-pairs")
+            ends = likely.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+            whole = cut(whole_shingles(texts.join(ends, "th", "left_semi")).dropDuplicates(["th"]), "whole-shingles")
+            return both(likely, whole, "all").where(shingle_similarity("sa", "sb") >= at_least).select(*pairs.columns)
+
+        return verify
+
+    return block_components(rows.unionAll(blank), lambda a, b: F.lit(True), prepare, by_block=True)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,13 +229,20 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts, and are found by MinHashes of these. Null text is its own text; null ids come last; repeated rows stay as
     one; an empty table gives no rows.
     """
+    path = new_path(docs.sparkSession, "kept")
+    with scratch(docs.sparkSession):
+        first = cut(_first_of_groups(docs, id_col, text_col), "kept", path)
+    keyed = packed(docs).withColumns({"th": F.xxhash64(f"row.{text_col}"), "id": F.col(f"row.{id_col}")})
+    kept = keyed.join(first, (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return unpacked(kept.dropDuplicates(["th", "id"]), docs.columns)
+
+
+def _first_of_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(_id, _th)``: smallest id, and its text's hash, of each group of copies and near copies."""
     features = cut(text_features(docs, text_col), "features")
     groups = similar_groups(features, docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")))
     keyed = docs.select(F.xxhash64(text_col).alias("th"), F.col(id_col).alias("id")).join(groups.withColumnsRenamed({"id": "th", "component": "c"}), "th", "left").withColumn("c", F.coalesce("c", "th"))
-    first = keyed.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.th").alias("_th"))
-    keyed = packed(docs).withColumns({"th": F.xxhash64(f"row.{text_col}"), "id": F.col(f"row.{id_col}")})
-    kept = keyed.join(cut(first, "kept"), (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    return unpacked(kept.dropDuplicates(["th", "id"]), docs.columns)
+    return keyed.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.th").alias("_th"))
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from photonflow.llm import graph, lines, simhash
+from photonflow.llm import common, graph, lines, simhash
 from tests.llm.helpers import SCHEMA, Sets, edge_docs, edge_rows, empty_docs, text
 
 
@@ -335,3 +335,11 @@ def test_lines_recall_on_a_table(spark):
 
 def test_schema_has_clashing_names():
     assert {"row", "th", "id", "gone", "_score", "component"} <= {x.split()[0] for x in SCHEMA.split(", ")}
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    kept = simhash.keep_representatives(edge_docs(spark))
+    stay = lines.dedup_lines(edge_docs(spark))
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["gone-lines", "kept"]
+    assert kept.count() and stay.count() == len(edge_rows())
