@@ -39,15 +39,51 @@ def components(edges: DataFrame) -> DataFrame:
         path = after
 
 
-def block_components(rows: DataFrame, close: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None, by_block: bool = False) -> DataFrame:
+#: Takes candidate pairs ``(a, b, ...)``; adds ``score``: null for pairs that pass, else less for likelier ones. Hopeless pairs may go. Written.
+Judge = Callable[[DataFrame], DataFrame]
+#: Takes pairs and leaves those that pass the costly test.
+Settle = Callable[[DataFrame], DataFrame]
+#: Pairs that are settled at once; of more, rounds find out which need it.
+FEW_PAIRS = 5_000
+
+
+def joined_by_rounds(pairs: DataFrame, judge: Judge, settle: Settle) -> DataFrame:
+    """``pairs(a, b, ca, cb)``, each once, of ids in different components -> ``(ca, cb)`` of components that a passing pair joins.
+
+    Exact up to connectivity, without settling every pair: in a dense group one link makes most others needless. Pairs
+    that pass by judgement come first. Then in each round each component has one pair settled, the likeliest, and pairs
+    whose ends are in one component by then are left out. When a round ends less than a fifth of the pairs, or few are
+    open, all that are left are settled.
+    """
+    judged = judge(pairs.select("a", "b", F.struct("ca", "cb", F.col("ca").alias("la"), F.col("cb").alias("lb")).alias("c")))
+    rows, passed, links, before = judged.where("score is not null"), judged.where("score is null"), [], None
+    while True:
+        links.append(passed.select("c.ca", "c.cb"))
+        tops = cut(components(passed.select(F.col("c.la").alias("a"), F.col("c.lb").alias("b")).distinct()), "tops")
+        size, left = tops.count(), rows.select("a", "b", "score", "c.*")
+        for end in ("la", "lb"):
+            top = tops.select(F.col("id").alias(end), F.col("component").alias("top"))
+            left = left.join(bounded(top, size), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+        rows = cut(left.where("la <> lb").select("a", "b", "score", F.struct("ca", "cb", "la", "lb").alias("c")), "open-pairs")
+        n = rows.count()
+        if n <= FEW_PAIRS or (before is not None and n > 0.8 * before):
+            return unions([*links, settle(rows.select("a", "b", "c")).select("c.ca", "c.cb")])
+        before = n
+        one = F.struct("score", F.xxhash64("a", "b").alias("h"), "a", "b", "c").alias("one")
+        ends = rows.select("c.la", one).unionAll(rows.select(F.col("c.lb").alias("la"), one))
+        chosen = cut(ends.groupBy("la").agg(F.min("one").alias("one")).select("one.a", "one.b", "one.c").distinct(), "chosen-pairs")
+        passed = cut(settle(chosen), "passed-pairs")
+        rows = rows.join(bounded(chosen.select("a", "b"), chosen.count()), ["a", "b"], "left_anti")
+
+
+def block_components(rows: DataFrame, close: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], tuple[Judge, Settle]] | None = None, by_block: bool = False) -> DataFrame:
     """``rows(k, id, fp)``: ids that share a block ``k`` and are ``close`` are linked -> ``(id, component)``.
 
     Exact without all pairs of a block. Blocks of one member are left out first. Each member meets three pivots
     of its block (linear in the block). Then, only in blocks whose members are not yet in one component, the
     members outside the block's commonest component meet the others, and just pairs from
     different components are kept. A dense group is in one component after the first step.
-    ``prepare``, given the ids that may be in pairs, returns a function that drops candidate pairs ``(a, b)`` by a
-    costlier test. ``by_block`` draws other pivots in each block: more pairs, for groups in which few members are linked to any one pivot. Rows must not repeat.
+    ``prepare``, given the ids that may be in pairs, returns how candidate pairs ``(a, b)`` are judged and settled. ``by_block`` draws other pivots in each block: more pairs, for groups in which few members are linked to any one pivot. Rows must not repeat.
     """
     rows = rows.where("k is not null and id is not null")
     order = F.xxhash64("id", "k") if by_block else F.xxhash64("id")
@@ -55,11 +91,14 @@ def block_components(rows: DataFrame, close: Callable[[Column, Column], Column],
     pivots = rows.groupBy("k").agg(F.count("*").alias("n"), *(x.alias(f"{c}{i}") for i, end in enumerate(ends) for c, x in zip("pf", end)))
     pivots = cut(pivots.where("n > 1"), "pivots")
     blocks = cut(rows.join(bounded(pivots, pivots.count()), "k"), "blocks")
-    verify = prepare(blocks.select("id").distinct()) if prepare else None
+    judge, settle = prepare(blocks.select("id").distinct()) if prepare else (None, None)
     met = F.array_distinct(F.array(*(F.struct(F.col(f"p{i}").alias("id"), F.col(f"f{i}").alias("fp")) for i in range(len(ends)))))
     near = blocks.select("id", "fp", F.explode(met).alias("p")).where((F.col("id") != F.col("p.id")) & close(F.col("fp"), F.col("p.fp")))
     near = near.select(F.greatest("id", F.col("p.id")).alias("a"), F.least("id", F.col("p.id")).alias("b")).distinct()
-    first = cut(components(verify(near) if verify else near), "linked")
+    if judge:
+        judged = judge(near)
+        near = judged.where("score is null").select("a", "b").unionAll(settle(judged.where("score is not null").select("a", "b")))
+    first = cut(components(near), "linked")
 
     named = blocks.where("n > 2").select("k", "id", "fp").join(first, "id", "left").select("k", "id", "fp", F.coalesce("component", "id").alias("c"))
     named = cut(named, "named-blocks")
@@ -69,9 +108,9 @@ def block_components(rows: DataFrame, close: Callable[[Column, Column], Column],
     some = named.join(hint(mixed), "k").where("c <> most").select("k", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("c").alias("ca"))
     rest = named.join(hint(mixed.select("k")), "k").select("k", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("c").alias("cb"))
     pairs = some.join(rest, "k").where((F.col("ca") != F.col("cb")) & close(F.col("fa"), F.col("fb")))
-    if verify:
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.struct("ca", "cb")).otherwise(F.struct(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).alias("c")).distinct()
-        pairs = verify(pairs).select("c.ca", "c.cb")
+    if judge:
+        ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") > F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"))
+        pairs = joined_by_rounds(ordered.distinct(), judge, settle)
     over = cut(components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()), "joined")
     tops = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
     merged = first.join(tops, "component", "left").select("id", F.coalesce("top", "component").alias("component"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonflow.llm.common import cut, new_path, packed, scratch, unpacked
-from photonflow.llm.graph import block_components
+from photonflow.llm.graph import Judge, Settle, block_components
 
 SEED = 42
 SHINGLE = 3
@@ -206,18 +206,21 @@ def similar_groups(features: DataFrame, texts: DataFrame, at_least: float = SIMI
             pairs = pairs.join(of.select(F.col("th").alias(end), F.col(column).alias(f"s{end}")), end)
         return pairs
 
-    def prepare(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def prepare(ids: DataFrame) -> tuple[Judge, Settle]:
         wanted = features.select("th", "sketch").join(ids.withColumnRenamed("id", "th"), "th", "left_semi")
         sketches = cut(wanted.dropDuplicates(["th"]), "sketches")  # most texts share no block: their sketches are never shuffled
 
-        def verify(pairs: DataFrame) -> DataFrame:
-            likely = both(pairs, sketches, "sketch").where(shingle_similarity("sa", "sb", SKETCH) >= at_least - MARGIN)
-            likely = cut(likely.select(*pairs.columns), "likely-pairs")
-            ends = likely.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+        def judge(pairs: DataFrame) -> DataFrame:
+            score = F.lit(1.0) - shingle_similarity("sa", "sb", SKETCH)
+            scored = cut(both(pairs, sketches, "sketch").select(*pairs.columns, score.alias("score")), "scored-pairs")
+            return scored.where(F.col("score") <= 1 - at_least + MARGIN)
+
+        def settle(pairs: DataFrame) -> DataFrame:
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
             whole = cut(whole_shingles(texts.join(ends, "th", "left_semi")).dropDuplicates(["th"]), "whole-shingles")
-            return both(likely, whole, "all").where(shingle_similarity("sa", "sb") >= at_least).select(*pairs.columns)
+            return both(pairs, whole, "all").where(shingle_similarity("sa", "sb") >= at_least).select(*pairs.columns)
 
-        return verify
+        return judge, settle
 
     return block_components(rows.unionAll(blank), lambda a, b: F.lit(True), prepare, by_block=True)
 

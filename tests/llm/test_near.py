@@ -343,3 +343,28 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     stay = lines.dedup_lines(edge_docs(spark))
     assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["gone-lines", "kept"]
     assert kept.count() and stay.count() == len(edge_rows())
+
+
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_rounds_join_what_all_pairs_join(spark, monkeypatch, few):
+    """Components reached in rounds are those of all passing pairs, whatever the judgement settles at once."""
+    monkeypatch.setattr(graph, "FEW_PAIRS", few)
+    rng = random.Random(few)
+    home = {i: i // 4 for i in range(160)}  # ids 4c .. 4c+3 are in component c
+    drawn = {tuple(sorted(rng.sample(range(160), 2), reverse=True)) for _ in range(500)}
+    rows = [(a, b, home[a], home[b], rng.choice(["sure", "near", "far", "far", "far", "gone"])) for a, b in sorted(drawn) if home[a] != home[b]]
+    kind = spark.createDataFrame([(a, b, k) for a, b, _, _, k in rows], "a long, b long, kind string")
+    pairs = spark.createDataFrame([r[:4] for r in rows], "a long, b long, ca long, cb long")
+
+    def judge(p):
+        score = F.when(F.col("kind") == "sure", None).when(F.col("kind") == "near", 0.2).otherwise(0.9)
+        return common.cut(p.join(kind, ["a", "b"]).where("kind <> 'gone'").select(*p.columns, score.alias("score")), "judged")
+
+    def settle(p):
+        return p.join(kind.where("kind = 'near'"), ["a", "b"], "left_semi").select(*p.columns)
+
+    got = graph.components(graph.joined_by_rounds(pairs, judge, settle).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    want = graph.components(pairs.join(kind.where("kind in ('sure', 'near')"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    empty = graph.joined_by_rounds(pairs.limit(0), judge, settle)
+    assert empty.count() == 0
