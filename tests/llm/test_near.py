@@ -345,13 +345,13 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     assert kept.count() and stay.count() == len(edge_rows())
 
 
-@pytest.mark.parametrize("few", [0, 40, 10**6])
+@pytest.mark.parametrize("few", [0, 10**6])
 def test_rounds_join_what_all_pairs_join(spark, monkeypatch, few):
     """Components reached in rounds are those of all passing pairs, whatever the judgement settles at once."""
     monkeypatch.setattr(graph, "FEW_PAIRS", few)
     rng = random.Random(few)
-    home = {i: i // 4 for i in range(160)}  # ids 4c .. 4c+3 are in component c
-    drawn = {tuple(sorted(rng.sample(range(160), 2), reverse=True)) for _ in range(500)}
+    home = {i: i // 4 for i in range(80)}  # ids 4c .. 4c+3 are in component c
+    drawn = {tuple(sorted(rng.sample(range(80), 2), reverse=True)) for _ in range(200)}
     rows = [(a, b, home[a], home[b], rng.choice(["sure", "near", "far", "far", "far", "gone"])) for a, b in sorted(drawn) if home[a] != home[b]]
     kind = spark.createDataFrame([(a, b, k) for a, b, _, _, k in rows], "a long, b long, kind string")
     pairs = spark.createDataFrame([r[:4] for r in rows], "a long, b long, ca long, cb long")
