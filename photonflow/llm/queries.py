@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from photonflow.llm import bpe, chat, lines, media, merkle, mixing, quality, rollup, simhash, warc
+from photonflow.llm import bpe, chat, covertree, importance, lines, manifest, media, merkle, mixing, quality, rollup, simhash, warc
 from photonflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,11 @@ def queries() -> dict[str, Query]:
         "op8_bpe": lambda spark, sf: bpe.op8(table(spark, sf, "documents")),
         "op9_rollup": lambda spark, sf: rollup.op9(table(spark, sf, "documents")),
         "op10_mixing": lambda spark, sf: mixing.op10(table(spark, sf, "documents")),
+        "op11_covertree": lambda spark, sf: covertree.op11(table(spark, sf, "embeddings")),
+        "op12_manifest": lambda spark, sf: manifest.op12(table(spark, sf, "documents")),
+        "op13_importance": lambda spark, sf: importance.op13(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.ORACLE, "op5_warc": warc.ORACLE}
+    return {"op3_chat": chat.ORACLE, "op5_warc": warc.ORACLE, "op11_covertree": covertree.ORACLE, "op12_manifest": manifest.ORACLE, "op13_importance": importance.ORACLE}

@@ -1,0 +1,216 @@
+"""Vector links, the Merkle manifest and importance resampling against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from photonflow.llm import covertree, importance, manifest
+from tests.llm.helpers import Sets, edge_docs, edge_rows, empty_docs
+
+VECTORS = "vec_id long, embedding array<double>, label int, id string, node string, key int, n long, vec string, part int, h1 string, size int"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, l, "x", "y", 1, 2, "z", 3, "w", 4) for i, v, l in rows], VECTORS)
+
+
+def slow_links(rows, threshold=0.98):
+    """(vec_id, links, component, kept) of each row, by comparing all pairs."""
+    good = [k for k, (i, v, l) in enumerate(rows) if i is not None and l is not None and v and None not in v and all(map(math.isfinite, v)) and any(v)]
+    unit = {k: (x := np.array(rows[k][1]) / max(map(abs, rows[k][1]))) / np.linalg.norm(x) for k in good}
+    sets, n = Sets(range(len(rows))), [0] * len(rows)
+    for a in good:
+        for b in good:
+            if a != b and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold:
+                n[a] += 1
+                sets.join(a, b)
+    tops = {}
+    for k in good:
+        tops[sets.find(k)] = min(rows[k][0], tops.get(sets.find(k), rows[k][0]))
+    top = [tops[sets.find(k)] if k in unit else rows[k][0] for k in range(len(rows))]
+    return sorted(((i, m, t, i is not None and i == t) for (i, _, _), m, t in zip(rows, n, top)), key=str)
+
+
+def clustered(seed, n, dims, noise, labels=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(1, n // 12), dims))
+    points = [centres[rng.integers(len(centres))] * rng.uniform(0.5, 3) + rng.normal(size=dims) * noise for _ in range(n)]
+    return [(int(i), p.tolist(), int(rng.integers(labels) if rng.random() < 0.5 else 0)) for i, p in zip(rng.permutation(n) - n // 2, points)]
+
+
+@pytest.mark.parametrize("seed, n, dims, noise", [(1, 300, 8, 0.2), (2, 260, 32, 0.1)])
+def test_links_against_all_pairs(spark, seed, n, dims, noise):
+    rows = clustered(seed, n, dims, noise)
+    got = covertree.linked(vectors(spark, rows), leaf=20, fanout=4, sample=16, chunk=50)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    want = slow_links(rows)
+    assert sorted(map(tuple, got.collect()), key=str) == want and sum(w[1] > 0 for w in want) > n / 4
+
+
+def test_links_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0), (2, [2.0, 4.0], 0), (2, [-1.0, 3.0], 0), (3, [1.0, 2.0], 1), (4, [1.0, 2.0], None), (None, [1.0, 2.0], 0), (5, None, 0), (6, [], 0), (7, [0.0, -0.0], 0), (8, [0.0, 0.0], 0),
+            (9, [nan, 1.0], 0), (10, [inf, 1.0], 0), (11, [None, 1.0], 0), (11, [None, 1.0], 0), (12, [1.0, 2.0, 0.0], 0), (13, [1e300, 2e300], 0), (14, [1e-300, 2e-300], 0), (-15, [-1.0, 3.0], 0), (None, None, None), (16, [-0.0, 5.0], 3), (17, [0.0, 5.0], 3)]
+    assert sorted(map(tuple, covertree.linked(vectors(spark, rows)).collect()), key=str) == slow_links(rows)
+    assert covertree.linked(vectors(spark, [])).count() == 0
+    assert {tuple(r) for r in covertree.linked(vectors(spark, rows[5:12])).collect()} == set(slow_links(rows[5:12]))
+
+
+def test_links_of_a_dense_group_are_counted_as_a_whole(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.array([1.0] + [0.0] * 7) + rng.normal(size=8) * 0.01).tolist(), 0) for i in range(120)] + [(200 + i, (np.array([0.0] * 7 + [1.0]) + rng.normal(size=8) * 0.06).tolist(), 0) for i in range(80)] + [(400 + i, [3.0] * 8, 0) for i in range(60)]
+    frame = vectors(spark, rows)
+    nodes, points = covertree.tree(covertree.classes(covertree.identified(frame)), 0.2, leaf=16, fanout=4, sample=16, chunk=64)
+    pairs = covertree.traversed(nodes, 0.2)
+    assert pairs.where("whole").count() > 0 and points.count() == 201
+    assert nodes.where("leaf and size > 16 and radius > 0.1").count() == 0
+    assert sorted(map(tuple, covertree.linked(frame, leaf=16, fanout=4, sample=16, chunk=64).collect()), key=str) == slow_links(rows)
+
+
+def test_covering_radii(spark):
+    """Every point is within its leaf's radius of the leaf's centre, and each centre stays a centre below."""
+    rows = clustered(9, 200, 6, 0.3, 1)
+    nodes, points = covertree.tree(covertree.classes(covertree.identified(vectors(spark, rows))), 0.2, leaf=12, fanout=4, sample=16, chunk=50)
+    found = {r["node"]: r for r in nodes.collect()}
+    for r in points.collect():
+        leaf = found[r["node"]]
+        assert np.linalg.norm(np.array(r["vec"]) - np.array(leaf["center"])) <= leaf["radius"] + 1e-6
+    for r in found.values():
+        if not r["leaf"]:
+            assert r["center_id"] in {k["center_id"] for k in found.values() if k["parent"] == r["node"]}
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def slow_leaf(row):
+    return h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def slow_tree(leaves):
+    """Root, and for each leaf the siblings (left, right) on its way up."""
+    level, at, ways = leaves, list(range(len(leaves))), [[] for _ in leaves]
+    while len(level) > 1:
+        runs = [level[i : i + 3] for i in range(0, len(level), 3)]
+        for k, p in enumerate(at):
+            run = runs[p // 3]
+            ways[k].append(("".join(run[: p % 3]), "".join(run[p % 3 + 1 :])))
+        level, at = [h(*run) for run in runs], [p // 3 for p in at]
+    return level[0], ways
+
+
+def slow_manifest(rows):
+    """rows: (doc_id, source, lang, n_chars, text)"""
+    trees = {}
+    for r in rows:
+        odd = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[4] is not None
+        trees.setdefault(r[1], []).append((r[0], slow_leaf(r), slow_leaf((*r[:4], r[4].replace("\n", ""))) if odd else slow_leaf(r)))
+    order = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    made = {}
+    for s in order:
+        trees[s].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        made[s] = slow_tree([x[1] for x in trees[s]])
+    root, tops = slow_tree([made[s][0] for s in order])
+    out = []
+    for s, top in zip(order, tops):
+        for (doc, leaf, bad), way in zip(trees[s], made[s][1]):
+            folded = bad
+            for left, right in way + top:
+                folded = h(left, folded, right)
+            out.append((doc, leaf, made[s][0], root, h(*(left + right for left, right in way + top)), folded, folded == root))
+    return sorted(out, key=str)
+
+
+def docs_of(rows):
+    return [(i, s, l, n, t) for i, t, l, s, n, *_ in rows]
+
+
+def test_manifest(spark):
+    got = manifest.op12(edge_docs(spark))
+    assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    want = slow_manifest(docs_of(edge_rows()))
+    assert sorted(map(tuple, got.collect()), key=str) == want and {w[-1] for w in want} == {True, False}
+    assert manifest.op12(empty_docs(spark)).count() == 0
+    one = edge_docs(spark).where("doc_id = 6")
+    assert [tuple(r) for r in manifest.op12(one).collect()] == slow_manifest(docs_of([r for r in edge_rows() if r[0] == 6]))
+
+
+def test_manifest_of_many_buckets(spark):
+    rng = random.Random(4)
+    rows = [(i, "hot" if i % 3 else f"s{rng.randrange(40)}", "en", 3, rng.choice(["a\nb", "c", None])) for i in rng.sample(range(10**6), 9000)] + [(None, "hot", None, None, str(i)) for i in range(50)] + [(5, "hot", "en", 1, "same")] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    got = sorted(map(tuple, manifest.op12(frame).collect()), key=str)
+    assert got == slow_manifest(rows)
+
+
+def test_whole_buckets():
+    import pyarrow as pa
+
+    keys = [("a", 0)] * 5 + [("a", 1)] * 3 + [("b", 1)] * 9 + [("c", 0)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part])], ["g", "b"]) for part in (keys[:2], [], keys[2:9], keys[9:])]
+    tables = [list(zip(t["g"].to_pylist(), t["b"].to_pylist())) for t in manifest.whole_buckets(iter(batches), 4)]
+    assert sum(tables, []) == keys and all(a[-1] != b[0] for a, b in zip(tables, tables[1:])) and len(tables) > 1
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def slow_features(text):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return len(words), words + [" ".join(p) for p in zip(words, words[1:])]
+
+
+def slow_resample(docs, target, percent=25):
+    bucket = lambda f: zlib.crc32(f.encode()) % 10_000
+    corpus, wanted = [0] * 10_000, [0] * 10_000
+    for counts, texts in ((corpus, [t for _, t in docs]), (wanted, target)):
+        for t in texts:
+            for f in slow_features(t)[1]:
+                counts[bucket(f)] += 1
+    gain = [math.floor(1000 * math.log((t + 1) * (sum(corpus) + 10_000) / ((s + 1) * (sum(wanted) + 10_000)))) for s, t in zip(corpus, wanted)]
+    rows = []
+    for doc, text in docs:
+        n, features = slow_features(text)
+        weight = math.floor(sum(gain[bucket(f)] for f in features) / len(features)) if features else 0
+        u = None if doc is None else (int(hashlib.sha256(f"7:{doc}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296
+        rows.append([doc, len(features), weight, None if doc is None else weight + math.floor(-1000 * math.log(-math.log(u))), None, n])
+    fit = sorted((r for r in rows if r[5] >= 20 and r[3] is not None), key=lambda r: (-r[3], r[0], r[1], r[2]))
+    for k, r in enumerate(fit[: percent * len(fit) // 100]):
+        r[4] = k + 1
+    return sorted((tuple(r[:5]) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("nodes", [importance.NODES, 30])
+def test_resampling(spark, nodes):
+    """Tries that are begun anew after few nodes, and texts that are cut into pieces, change nothing."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(["the", "The", "naïve", "x1", "Ünder", "漢字", "a", "b", "co", "42", "ÀB"])
+    docs = [(rng.randrange(60), rng.choice([" ", "\x00", "--", "\n"]).join(word() for _ in range(rng.choice([0, 1, 2, 19, 20, 21, 90])))) for _ in range(150)] + [(None, "the " * 30), (900, None), (901, ""), (902, "a " * 5000)]
+    target = ["the naïve x1 the naïve", None, "", "42 a"]
+    frame = spark.createDataFrame([(i, t, 1, 2, "n", 3) for i, t in docs], "doc_id long, text string, weight int, score int, rank string, bucket int")
+    got = importance.resample(frame, spark.createDataFrame([(t,) for t in target], "text string"), nodes=nodes)
+    assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    want = slow_resample(docs, target)
+    assert sorted(map(tuple, got.collect()), key=str) == want and any(w[4] for w in want)
+
+
+def test_resampling_of_odd_tables(spark):
+    docs, none = edge_docs(spark), spark.createDataFrame([], "text string")
+    want = slow_resample([(r[0], r[1]) for r in edge_rows()], [])
+    assert sorted(map(tuple, importance.resample(docs, none).collect()), key=str) == want
+    assert importance.resample(empty_docs(spark), none).count() == 0
+    assert importance.resample(docs.select("doc_id", F.lit("few words").alias("text")), none).where("rank is not null").count() == 0
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x80, 0x250), rng.randrange(0x4E00, 0x4E20), 0x1F642])) for _ in range(40))
+        assert [w.decode() for w in importance.words(text.encode())] == slow_features(text)[1][: slow_features(text)[0]]
