@@ -1,8 +1,7 @@
 """Importance resampling towards a target distribution by hashed word n-grams.
 
-Every feature, a word or two words in a row, has a bucket by its CRC. Each task counts its features in a trie of words: a node has
-the count of the words on its path and the state of their CRC, so a pair's bucket takes only the bytes of the second word. Nodes are added up into
-bucket totals when a trie is full and at the end of a task, and Spark sums those of all tasks. What a feature says for the target against the corpus,
+Every feature, a word or two words in a row, has a bucket by its CRC. Each task reads its texts into a trie of words, whose nodes have counts and
+the state of their CRC, from which that of the words below goes on. Counts are added up into bucket totals, and Spark sums those of all tasks. What a feature says for the target against the corpus,
 its gain, is a number for each bucket. A document's weight is the mean gain along its paths; its score adds Gumbel noise, so that the highest
 scores are a draw without replacement.
 """
@@ -10,11 +9,12 @@ scores are a draw without replacement.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain, islice
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -23,106 +23,125 @@ from pyspark.sql import functions as F
 from photonflow.llm.common import cut
 
 BUCKETS = 10_000
-#: Words as UTF-8 bytes: letters and digits of ASCII, and everything beyond it.
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Nodes of a trie after which it is added up and begun anew.
-NODES = 1_000_000
+#: What the bytes of a UTF-8 text become: letters and digits of ASCII and everything beyond it stand, A-Z in lower case; the rest parts words.
+LOWER = bytes(c if chr(c).isdigit() or chr(c).islower() or c >= 0x80 else c + 32 if chr(c).isupper() else 32 for c in range(256))
+#: Distinct words after which a trie is begun anew, words that it reads at once, and bytes after which a text is cut.
+NODES, LOT, PIECE = 1_000_000, 500_000, 1 << 20
 SEED, PERCENT, LEAST_WORDS = 7, 25, 20
-BATCH = 512
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Words of a text, of which only A-Z are lower-cased."""
-    return WORD.findall(text.lower()) if text else []
+def crc_steps() -> np.ndarray:
+    """What a byte that leaves a CRC register does to it."""
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, steps >> 1 ^ np.uint32(0xEDB88320), steps >> 1).astype(np.uint32)
+    return steps
 
 
-class Node:
-    """What is known of the words on the path to it: ``value`` is their count, or their bucket's gain."""
+STEPS = crc_steps()
 
-    __slots__ = ("value", "crc", "kids")
 
-    def __init__(self, value: int, crc: int) -> None:
-        self.value, self.crc, self.kids = value, crc, {}
+def extended(states: np.ndarray, crcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRCs of texts with the CRCs ``states``, each followed by one of ``sizes`` bytes with the CRC ``crcs``: the state is moved past as many zeros."""
+    out = states.copy()
+    for k in range(int(sizes.max(initial=0))):
+        more = sizes > k
+        out[more] = STEPS[out[more] & 255] ^ out[more] >> 8
+    return out ^ crcs
+
+
+def pieces(text: bytes | None, size: int = PIECE) -> Iterator[tuple[list[bytes], bool]]:
+    """The words of a text, of which only A-Z are lower-cased, cut every ``size`` bytes between words. True: begins with the last word of the piece before."""
+    low, at, last = (text or b"").translate(LOWER), 0, None
+    while at < len(low):
+        end = low.find(b" ", at + size)
+        found = low[at : end if end >= 0 else len(low)].split()
+        if found:
+            yield ([last, *found] if last else found), last is not None
+            last = found[-1]
+        at = end if end >= 0 else len(low)
+
+
+class Words(dict):
+    """Numbers of words, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class Trie:
-    """Words, and below each the words that followed it. ``gains``: a new node gets its bucket's gain; without, it counts."""
-
-    def __init__(self, buckets: int, gains: list[int] | None = None, most: int = NODES) -> None:
-        self.buckets, self.gains, self.most = buckets, gains, most
-        self.kids: dict[bytes, Node] = {}
-        self.size = 0
-
-    def node(self, kids: dict[bytes, Node], word: bytes, crc: int) -> Node:
-        made = kids[word] = Node(0 if self.gains is None else self.gains[crc % self.buckets], crc)
-        self.size += 1
-        return made
-
-    def begin(self) -> None:
-        """Forget all words if there are too many."""
-        if self.size >= self.most:
-            self.kids, self.size = {}, 0
-
-    def count(self, text: list[bytes]) -> None:
-        """Add one for each word and each pair."""
-        before = None
-        for word in text:
-            if (here := self.kids.get(word)) is None:
-                here = self.node(self.kids, word, crc32(word))
-            here.value += 1
-            if before is not None:
-                if (pair := before.kids.get(word)) is None:
-                    pair = self.node(before.kids, word, crc32(word, crc32(b" ", before.crc)))
-                pair.value += 1
-            before = here
-
-    def walk(self, text: list[bytes]) -> int:
-        """The sum of the gains of all words and pairs."""
-        before, total = None, 0
-        for word in text:
-            if (here := self.kids.get(word)) is None:
-                here = self.node(self.kids, word, crc32(word))
-            total += here.value
-            if before is not None:
-                if (pair := before.kids.get(word)) is None:
-                    pair = self.node(before.kids, word, crc32(word, crc32(b" ", before.crc)))
-                total += pair.value
-            before = here
-        return total
-
-    def totals(self, into: list[int]) -> None:
-        """Add the counts to ``into``, by bucket."""
-        for here in self.kids.values():
-            into[here.crc % self.buckets] += here.value
-            for pair in here.kids.values():
-                into[pair.crc % self.buckets] += pair.value
-
-
-def parts(text: list[bytes], size: int = NODES // 4) -> Iterator[list[bytes]]:
-    """A long text in pieces that overlap by a word, so that each pair is in one; of all pieces but the first, the first word is counted before."""
-    yield text[: size + 1]
-    for at in range(size, len(text) - 1, size):
-        yield text[at : at + size + 1]
-
-
-def bucket_totals(docs: DataFrame, buckets: int = BUCKETS, nodes: int = NODES) -> DataFrame:
+    """Words, and the words that followed each, as arrays.
+
+    The first level has a node for each word, with its CRC; the second, made for each lot of texts, a node for each word that
+    followed another, in the order of both, with its count and its CRC, which goes on from the state of the node above.
+    """
+
+    def __init__(self, most: int = NODES) -> None:
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.crcs, self.states, self.sizes = Words(), np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def read(self, lot: list[tuple[list[bytes], bool]]) -> None:
+        """Sets ``ids`` (the first-level node of each word of the lot), ``ends`` (where each piece ends), ``own`` (words that do not repeat the piece before),
+        ``paired`` (words with one after them), ``place`` (the second-level node of each of those), ``times`` and ``pair_crcs`` (of each such node)."""
+        if len(self.words) > self.most:
+            self.forget()
+        known = len(self.words)
+        self.ids = np.fromiter(chain.from_iterable(map(self.words.__getitem__, found) for found, _ in lot), np.int64)
+        new = list(islice(self.words, known, None))
+        crcs, sizes = np.fromiter(map(crc32, new), np.uint32), np.fromiter(map(len, new), np.int64)
+        space = extended(crcs, np.full(len(new), crc32(b" "), np.uint32), np.ones(len(new), np.int64))
+        self.crcs, self.states, self.sizes = (np.concatenate(x) for x in ((self.crcs, crcs), (self.states, space), (self.sizes, sizes)))
+        self.ends = np.cumsum([len(found) for found, _ in lot])
+        self.own = np.ones(len(self.ids), bool)
+        self.own[[end - len(found) for end, (found, again) in zip(self.ends, lot) if again]] = False
+        self.paired = np.ones(len(self.ids), bool)
+        self.paired[self.ends - 1] = False
+        at = np.flatnonzero(self.paired)
+        nodes, self.place, self.times = np.unique(self.ids[at] << 32 | self.ids[at + 1], return_inverse=True, return_counts=True)
+        above, word = nodes >> 32, nodes & 0xFFFFFFFF
+        self.pair_crcs = extended(self.states[above], self.crcs[word], self.sizes[word])
+
+    def counts(self, buckets: int) -> np.ndarray:
+        """How many features of the lot each bucket has."""
+        words = np.bincount(self.crcs[self.ids[self.own]] % buckets, minlength=buckets)
+        return words + np.bincount(self.pair_crcs % buckets, self.times, buckets).astype(np.int64)
+
+    def sums(self, gains: np.ndarray) -> np.ndarray:
+        """The gains on the paths of each piece, added up."""
+        path = np.where(self.own, gains[self.crcs % len(gains)][self.ids], 0)
+        path[self.paired] += gains[self.pair_crcs % len(gains)][self.place]
+        return np.diff(np.concatenate([[0], np.cumsum(path)])[np.concatenate([[0], self.ends])])
+
+
+def lots(texts: Iterator[bytes | None], words: int, size: int) -> Iterator[tuple[list[int], list[tuple[list[bytes], bool]]]]:
+    """Pieces of the texts, some ``words`` words at a time, and the number of the text that each is of."""
+    of, lot, n = [], [], 0
+    for k, text in enumerate(texts):
+        for piece in pieces(text, size):
+            of.append(k)
+            lot.append(piece)
+            n += len(piece[0])
+            if n >= words:
+                yield of, lot
+                of, lot, n = [], [], 0
+    if lot:
+        yield of, lot
+
+
+def bucket_totals(docs: DataFrame, buckets: int = BUCKETS, nodes: int = NODES, lot: int = LOT, piece: int = PIECE) -> DataFrame:
     """``(bucket, n)`` of the features of ``text``; null texts have none. A task sends at most one row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, totals = Trie(buckets, most=nodes), [0] * buckets
-        for batch in batches:
-            for text in batch.column(0):
-                found = words(text.as_py())
-                for i, piece in enumerate(parts(found, max(1, nodes // 4))):
-                    if trie.size >= trie.most:
-                        trie.totals(totals)
-                        trie.begin()
-                    trie.count(piece)
-                    if i:
-                        totals[crc32(piece[0]) % buckets] -= 1
-        trie.totals(totals)
-        some = [b for b in range(buckets) if totals[b]]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([totals[b] for b in some], pa.int64())], ["bucket", "n"])
+        trie, totals = Trie(nodes), np.zeros(buckets, np.int64)
+        for _, some in lots((text.as_py() for batch in batches for text in batch.column(0)), lot, piece):
+            trie.read(some)
+            totals += trie.counts(buckets)
+        (some,) = np.nonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some])], ["bucket", "n"])
 
     rows = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "bucket long, n long")
     return rows.groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -140,25 +159,21 @@ def noise(doc_id: int, seed: int = SEED) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def weighed(docs: DataFrame, table: list[int], buckets: int = BUCKETS, seed: int = SEED, nodes: int = NODES) -> DataFrame:
-    """doc_id, n_features, weight, score and n_words of every row; a null id has no score."""
+def weighed(docs: DataFrame, table: list[int], seed: int = SEED, nodes: int = NODES, lot: int = LOT, piece: int = PIECE) -> DataFrame:
+    """doc_id, n_features, weight, score and n_words of every row by the gains in ``table``; a null id has no score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(buckets, table, nodes)
+        trie, by_bucket = Trie(nodes), np.array(table, np.int64)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, total = words(text.as_py()), 0
-                for i, piece in enumerate(parts(found, max(1, nodes // 4))):
-                    trie.begin()
-                    total += trie.walk(piece)
-                    if i:
-                        total -= table[crc32(piece[0]) % buckets]
-                n = max(0, 2 * len(found) - 1)
-                weight = total // n if n else 0
-                out.append((doc_id, n, weight, None if doc_id is None else weight + noise(doc_id, seed), len(found)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "n_features", "weight", "score", "n_words"])
+            total, n_words = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for of, some in lots((text.as_py() for text in batch.column(1)), lot, piece):
+                trie.read(some)
+                np.add.at(total, of, trie.sums(by_bucket))
+                np.add.at(n_words, of, [len(found) - again for found, again in some])
+            n = np.maximum(0, 2 * n_words - 1)
+            weight = total // np.maximum(1, n)
+            score = [None if doc_id is None else w + noise(doc_id, seed) for doc_id, w in zip(batch.column(0).to_pylist(), weight.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weight), pa.array(score, pa.int64()), pa.array(n_words)], ["doc_id", "n_features", "weight", "score", "n_words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_features long, weight long, score long, n_words long")
@@ -190,15 +205,15 @@ def drawn(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WO
     return top.select(*same, "rank").unionAll(late.select(*same, "rank")).unionAll(rest.select(*same, "rank"))
 
 
-def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS, seed: int = SEED, nodes: int = NODES) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS, seed: int = SEED, **sizes: int) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every row of ``docs(doc_id, text)``; rank is null for rows that are not drawn.
 
     ``target(text)`` has the distribution that is wanted. Null and empty texts have no features and weight 0; an empty
     target or corpus counts nothing and gains are those of the smoothing alone. Rows that repeat an id are documents of their own with the same noise. A null id
     has no score, is never drawn and does not count among those of which a share is drawn. Other columns have no part.
     """
-    corpus, wanted = ({r["bucket"]: r["n"] for r in bucket_totals(d, buckets, nodes).collect()} for d in (docs, target))  # at most ``buckets`` rows
-    return drawn(cut(weighed(docs, gains(corpus, wanted, buckets), buckets, seed, nodes), "scores"), percent)
+    corpus, wanted = ({r["bucket"]: r["n"] for r in bucket_totals(d, buckets, **sizes).collect()} for d in (docs, target))  # at most ``buckets`` rows
+    return drawn(cut(weighed(docs, gains(corpus, wanted, buckets), seed, **sizes), "scores"), percent)
 
 
 def op13(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -187,15 +187,15 @@ def slow_resample(docs, target, percent=25):
     return sorted((tuple(r[:5]) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("nodes", [importance.NODES, 30])
-def test_resampling(spark, nodes):
+@pytest.mark.parametrize("sizes", [{}, {"nodes": 5, "lot": 40, "piece": 25}])
+def test_resampling(spark, sizes):
     """Tries that are begun anew after few nodes, and texts that are cut into pieces, change nothing."""
     rng = random.Random(8)
     word = lambda: rng.choice(["the", "The", "naïve", "x1", "Ünder", "漢字", "a", "b", "co", "42", "ÀB"])
     docs = [(rng.randrange(60), rng.choice([" ", "\x00", "--", "\n"]).join(word() for _ in range(rng.choice([0, 1, 2, 19, 20, 21, 90])))) for _ in range(150)] + [(None, "the " * 30), (900, None), (901, ""), (902, "a " * 5000)]
     target = ["the naïve x1 the naïve", None, "", "42 a"]
     frame = spark.createDataFrame([(i, t, 1, 2, "n", 3) for i, t in docs], "doc_id long, text string, weight int, score int, rank string, bucket int")
-    got = importance.resample(frame, spark.createDataFrame([(t,) for t in target], "text string"), nodes=nodes)
+    got = importance.resample(frame, spark.createDataFrame([(t,) for t in target], "text string"), **sizes)
     assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
     want = slow_resample(docs, target)
     assert sorted(map(tuple, got.collect()), key=str) == want and any(w[4] for w in want)
@@ -213,4 +213,5 @@ def test_words_are_those_of_the_pattern():
     rng = random.Random(2)
     for _ in range(300):
         text = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x80, 0x250), rng.randrange(0x4E00, 0x4E20), 0x1F642])) for _ in range(40))
-        assert [w.decode() for w in importance.words(text.encode())] == slow_features(text)[1][: slow_features(text)[0]]
+        got = [w.decode() for found, again in importance.pieces(text.encode(), rng.choice([1, 7, 1000])) for w in found[again:]]
+        assert got == slow_features(text)[1][: slow_features(text)[0]]
