@@ -14,19 +14,17 @@ LEADING_DAY = r"^([1-2][0-9]{3})([0-1][0-9])([0-3][0-9])"
 DASHED_DAY = r"^([1-2][0-9]{3})-([0-1][0-9])-([0-3][0-9])"
 
 
-def _moment(text: Column, pattern: str, clock: tuple[int, int, int] | None) -> Column:
-    """The first match as a time; null without one or where the calendar has no such day."""
-    part = lambda i: F.regexp_extract(text, pattern, i).try_cast("int")
-    h, m, s = (part(4), part(5), part(6)) if clock is None else map(F.lit, clock)
-    made = F.try_make_timestamp_ntz(part(1), part(2), part(3), h, m, s.cast("decimal(8,6)"))
-    return F.when(part(1) >= 1, made)
+#: Either of the two that a folder may begin with; no name matches both.
+FOLDER_DAY = f"{LEADING_DAY}|{DASHED_DAY}"
 
 
-def _range(text: Column, pattern: str, exact: bool = False) -> Column:
-    """``struct(min, max)``, null as a whole where there is no date."""
-    low = _moment(text, pattern, None if exact else (0, 0, 0))
-    high = low if exact else _moment(text, pattern, (23, 59, 59))
-    return F.when(low.isNotNull(), F.struct(low.alias("min"), high.alias("max")))
+def _moment(text: Column, pattern: str) -> Column:
+    """The first match as a time, at midnight without a clock; null without a match or where the calendar has no such day."""
+    digits = F.translate(F.regexp_extract(text, pattern, 0), "-_/", "")
+    part = lambda at, n: F.substring(digits, at, n).try_cast("int")
+    h, m, s = (part(9, 2), part(11, 2), part(13, 2)) if pattern == EXACT else (F.lit(0),) * 3
+    made = F.try_make_timestamp_ntz(part(1, 4), part(5, 2), part(7, 2), h, m, s.cast("decimal(8,6)"))
+    return F.when(digits >= "0001", made)
 
 
 def path_datetime(path: Column) -> Column:
@@ -36,10 +34,16 @@ def path_datetime(path: Column) -> Column:
     directories from the deepest up: a leading day, packed or with dashes. A match that is no
     calendar date makes room for the next rule.
     """
-    name = basename(path)
-    folders = F.reverse(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))))
-    found = F.transform(folders, lambda d: F.coalesce(_range(d, LEADING_DAY), _range(d, DASHED_DAY)))
-    return F.coalesce(_range(name, EXACT, exact=True), _range(name, DELIMITED_DAY), _range(name, LEADING_DAY), F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
+    name, parts = basename(path), F.split(path, "/")
+    folders = F.reverse(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
+    walked = F.get(F.filter(F.transform(folders, lambda d: _moment(d, FOLDER_DAY)), lambda x: x.isNotNull()), F.lit(0))
+    exact = F.when(name.rlike("[0-9]{8}"), _moment(name, EXACT))
+    day = F.coalesce(F.when(name.rlike("[0-9]{8}"), F.coalesce(_moment(name, DELIMITED_DAY), _moment(name, LEADING_DAY))), walked)
+    # an array of one, so that what is found is not looked for again at each use
+    found = F.array(F.struct(exact.alias("exact"), F.when(exact.isNull(), day).alias("day")))
+    end = lambda f: F.coalesce(f["exact"], f["day"] + F.expr("INTERVAL '23:59:59' HOUR TO SECOND"))
+    ends = F.transform(found, lambda f: F.when(F.coalesce(f["exact"], f["day"]).isNotNull(), F.struct(F.coalesce(f["exact"], f["day"]).alias("min"), end(f).alias("max"))))
+    return F.get(ends, F.lit(0))
 
 
 def tag_datetime(*tags: Column) -> Column:

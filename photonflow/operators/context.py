@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +10,7 @@ from photonflow.functions.datetimes import proximity
 from photonflow.functions.template import fill
 from photonflow.functions.text import truncate
 from photonflow.operators.tables import stable
+from photonflow.operators.walk import walk_candidates
 
 
 def path_ranks(items: DataFrame, key: str = "rel_path") -> DataFrame:
@@ -33,31 +30,47 @@ def path_ranks(items: DataFrame, key: str = "rel_path") -> DataFrame:
     return runs.withColumn("_local", local).join(F.broadcast(base), "_run").withColumn("rank", F.col("_before") + F.col("_local")).drop("_run", "_local", "_before")
 
 
-def candidates(ranked: DataFrame, reach: int, wanted: DataFrame | None = None) -> DataFrame:
-    """``(target, item)`` structs of rows up to ``reach`` ranks apart, by an equi-join on blocks of ranks; targets are ``wanted`` rows, or all."""
-    row = F.struct("rel_path", "datetime_min", "datetime_max", "rank")
-    block = F.floor(F.col("rank") / reach).cast("long")
-    targets = (ranked if wanted is None else wanted).select(row.alias("target"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    items = ranked.select(row.alias("item"), block.alias("block"))
-    apart = F.abs(F.col("target.rank") - F.col("item.rank"))
-    return targets.join(items, "block").where(apart.between(1, reach)).drop("block")
+#: Rows of a block at least; a block also has a copy of the rows next to it.
+BLOCK = 4096
 
 
-def nearest(items: DataFrame, k: int, window_days: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+def nearest(items: DataFrame, k: int, window_days: int | None = None, targets: DataFrame | None = None, walk: bool = False) -> DataFrame:
     """``(rel_path, item, score_min, score_max, place)``: up to ``k`` items by distance of their farther ends in time, then path.
 
-    Candidates are the 2k rows before and after in path order; rows without a time are no candidates
-    and have none. ``targets(rel_path)`` are the rows that context is wanted for, all if not given.
+    Candidates are the 2k rows before and after in path order, or with ``walk`` what a walk through the directory tree takes (``walk_candidates``); rows
+    without a time are no candidates and have none. ``targets(rel_path)`` are the rows that context is wanted for, all if not given.
+
+    Ranks are cut into blocks, each with the 2k rows on either side of it, so a row's candidates are a frame of its block: nothing is joined.
     """
-    ranked = path_ranks(items.select("rel_path", "datetime_min", "datetime_max"))
-    score = proximity(F.col("target.datetime_min"), F.col("target.datetime_max"), F.col("item.datetime_min"), F.col("item.datetime_max"))
-    wanted = None if targets is None else ranked.join(targets.select("rel_path"), "rel_path", "left_semi")
-    scored = candidates(ranked, 2 * k, wanted).withColumn("s", score).where(F.col("s.score_max") < float("inf"))
+    items = stable(items.select("rel_path", "datetime_min", "datetime_max"), "dated-items")
+    own, other = F.struct("rel_path", "datetime_min", "datetime_max"), ["rel_path", "datetime_min", "datetime_max"]
+    if walk:
+        times = items.where("datetime_min is not null")
+        met = walk_candidates(items, 2 * k, targets).select("rel_path", "item").join(times.select(F.col("rel_path").alias("item"), F.struct(F.col("rel_path"), "datetime_min", "datetime_max").alias("i")), "item")
+        scored = met.join(times, "rel_path").select("rel_path", _scored(own, F.col("i")).alias("s"))
+        scored = scored if window_days is None else scored.where(F.col("s.score_max") <= window_days * 86400.0)
+        placed = scored.withColumn("place", F.row_number().over(W.partitionBy("rel_path").orderBy("s.score_max", "s.item"))).where(F.col("place") <= k)
+        return placed.select("rel_path", "s.item", "s.score_min", "s.score_max", "place")
+    reach, size = 2 * k, max(BLOCK, 8 * k)
+    block = lambda rank: F.floor(rank / F.lit(size)).cast("long")
+    ranked = path_ranks(items)
+    dealt = ranked.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col("rank") - reach), block(F.col("rank")), block(F.col("rank") + reach)))))
+    frame = W.partitionBy("_block").orderBy("rank").rowsBetween(-reach, reach)
+    found = F.collect_list(F.when(F.col("datetime_min").isNotNull(), F.struct(*other))).over(frame)
+    rows = dealt.withColumn("_near", found).where((F.col("_block") == block(F.col("rank"))) & F.col("datetime_min").isNotNull())
+    if targets is not None:
+        rows = rows.join(targets.select("rel_path").distinct(), "rel_path", "left_semi")
+    scores = F.transform(F.filter("_near", lambda i: i["rel_path"] != F.col("rel_path")), lambda i: _scored(own, i))
     if window_days is not None:
-        scored = scored.where(F.col("s.score_max") <= window_days * 86400.0)
-    rows = scored.select(F.col("target.rel_path").alias("rel_path"), F.col("item.rel_path").alias("item"), "s.score_min", "s.score_max")
-    order = W.partitionBy("rel_path").orderBy("score_max", "item")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        scores = F.filter(scores, lambda x: x["score_max"] <= window_days * 86400.0)
+    best = rows.select("rel_path", F.posexplode(F.slice(F.array_sort(scores), 1, k)).alias("_pos", "s"))
+    return best.select("rel_path", "s.item", "s.score_min", "s.score_max", (F.col("_pos") + 1).alias("place"))
+
+
+def _scored(target: Column, item: Column) -> Column:
+    """``struct(score_max, item, score_min)``, which orders as candidates do."""
+    score = proximity(target["datetime_min"], target["datetime_max"], item["datetime_min"], item["datetime_max"])
+    return F.struct(score["score_max"].alias("score_max"), item["rel_path"].alias("item"), score["score_min"].alias("score_min"))
 
 
 def context_arrays(near: DataFrame, descriptions: DataFrame, compat: bool = False) -> DataFrame:
@@ -69,66 +82,6 @@ def context_arrays(near: DataFrame, descriptions: DataFrame, compat: bool = Fals
     return met.groupBy("rel_path").agg(rows.alias("context"))
 
 
-def walk_candidates(items: DataFrame, root: str, k: int) -> DataFrame:
-    """Compatible candidates ``(rel_path, item, seq)``: the directory walk of the original, upwards and downwards.
-
-    Works on one root's listing of (directory, name) pairs in one group; for the comparison with the original only.
-    """
-    top = root.rstrip("/")
-
-    def walk(listing: pd.DataFrame) -> pd.DataFrame:
-        folders: dict[str, list[str]] = {}
-        for path in sorted(listing["rel_path"]):
-            here = f"{top}/{path}"
-            while here != top:
-                parent = os.path.dirname(here)
-                known = folders.setdefault(parent, [])
-                if here in known:
-                    break
-                known.append(here)
-                here = parent
-        out = []
-        for path in listing["rel_path"]:
-            target = f"{top}/{path}"
-            seq = 0
-            for up in (True, False):
-                found = 0
-                for item in _walk(folders, target, top, up, 2 * k):
-                    found += 1
-                    out.append((path, item[len(top) + 1 :], seq))
-                    seq += 1
-        return pd.DataFrame(out, columns=["rel_path", "item", "seq"])
-
-    def all_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        if frames:
-            yield walk(pd.concat(frames))
-
-    return items.select("rel_path").coalesce(1).mapInPandas(all_of, "rel_path string, item string, seq int")
-
-
-def _walk(folders: dict[str, list[str]], target: str, top: str, up: bool, enough: int) -> Iterator[str]:
-    """Files before (up) or after the target; a directory that was begun is taken whole."""
-    waiting, seen, found = {os.path.dirname(target)}, {os.path.dirname(target)}, 0
-    while waiting and found < enough:
-        here = max(waiting) if up else min(waiting)
-        waiting.discard(here)
-        for entry in folders.get(here, []):
-            if (entry >= target) if up else (entry <= target):
-                continue
-            if entry in folders:
-                if entry not in seen:
-                    seen.add(entry)
-                    waiting.add(entry)
-                continue
-            found += 1
-            yield entry
-        parent = os.path.dirname(here)
-        if parent.startswith(top) and parent not in seen:
-            seen.add(parent)
-            waiting.add(parent)
-
-
 def context_section(context: Column, template: str, item_template: str, max_items: int, max_length: int, budget: int | None = None, compat: bool = False) -> Column:
     """The filled section of numbered, truncated descriptions; empty without context.
 

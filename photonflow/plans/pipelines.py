@@ -87,7 +87,7 @@ def enhance(run: Run) -> DataFrame:
     told = stable(metadata.with_metadata(known, run.geocodes()), "metadata")
     items = told.select("rel_path", "description", F.col("metadata.datetime_min").alias("datetime_min"), F.col("metadata.datetime_max").alias("datetime_max"))
     todo = run.todo("enhance", told)
-    near = context.nearest(items, c.max_context_items, c.context_window_days, todo.where("description is not null"))
+    near = context.nearest(items, c.max_context_items, c.context_window_days, todo.where("description is not null"), walk=c.compat)
     arrays = context.context_arrays(near, items.select("rel_path", "description"), c.compat)
     rows = todo.where("description is not null").join(arrays, "rel_path", "left")
     texts = F.transform(F.coalesce("context", F.array().cast("array<struct<place:int,item:string,score_min:double,score_max:double,description:string>>")), lambda x: x["description"])

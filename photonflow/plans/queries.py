@@ -15,7 +15,7 @@ from photonflow.config import CONTEXT_ITEM, CONTEXT_TEMPLATE, DESCRIBE_OUTPUT, D
 from photonflow.functions import datetimes, geo, paths, stats, text
 from photonflow.functions.template import fill
 from photonflow.media.jpeg import SIGNATURE
-from photonflow.operators import context, lookup, prompt
+from photonflow.operators import context, lookup, prompt, walk
 from photonflow.operators.ordering import rank_within
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,7 +96,11 @@ dated AS (SELECT event_id, ts, user_id, event_type, "value", rel_path, path, nam
 
 
 def dated(events: DataFrame) -> DataFrame:
-    return media(events).withColumn("_r", datetimes.path_datetime(F.col("path"))).withColumns({"dt_min": F.col("_r.min"), "dt_max": F.col("_r.max")}).drop("_r")
+    return _dates(media(events))
+
+
+def _dates(items: DataFrame) -> DataFrame:
+    return items.withColumn("_r", datetimes.path_datetime(F.col("path"))).withColumns({"dt_min": F.col("_r.min"), "dt_max": F.col("_r.max")}).drop("_r")
 
 
 def _display_sql(c: str) -> str:
@@ -250,6 +254,27 @@ def context_array(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.select("rel_path", F.array_join(F.transform("context", lambda x: F.concat(x["place"].cast("string"), F.lit(":"), x["item"])), ",").alias("items"))
 
 
+@query(
+    f"""WITH RECURSIVE files AS (SELECT '/r/g' || event_id // 64 || CASE user_id % 4 WHEN 0 THEN '' WHEN 1 THEN '-' || user_id % 3 ELSE '/u' || user_id % 5 END || '/' || event_id || '.jpg' AS path, regexp_extract(path, '^(.*)/', 1) AS folder FROM events),
+    every AS (SELECT DISTINCT array_to_string(string_split(folder, '/')[1:l], '/') AS folder FROM files, range(2, 5) AS u(l) WHERE l <= len(string_split(folder, '/'))),
+    folders AS (SELECT e.folder, coalesce(f.files, []) AS files, coalesce(d.dirs, []) AS dirs FROM every e LEFT JOIN (SELECT folder, list(path) AS files FROM files GROUP BY folder) f ON f.folder = e.folder
+      LEFT JOIN (SELECT regexp_extract(folder, '^(.*)/', 1) AS folder, list(folder) AS dirs FROM every WHERE folder <> '/r' GROUP BY ALL) d ON d.folder = e.folder),
+    walk AS (
+      SELECT path, up, [folder] AS waiting, [folder] AS seen, 0 AS found, []::VARCHAR[] AS taken FROM files, (VALUES (true), (false)) AS u(up)
+      UNION ALL SELECT path, up, list_concat(list_filter(waiting, lambda x: x <> folder), fresh), list_concat(seen, fresh), found + len(got), got FROM (
+        SELECT w.*, f.folder, list_filter(f.files, lambda x: x <> path AND (x < path) = up) AS got,
+          list_filter(list_concat(list_filter(f.dirs, lambda x: (x < path) = up), CASE WHEN f.folder = '/r' THEN [] ELSE [regexp_extract(f.folder, '^(.*)/', 1)] END), lambda x: NOT list_contains(seen, x)) AS fresh
+        FROM walk w JOIN folders f ON f.folder = CASE WHEN up THEN list_max(waiting) ELSE list_min(waiting) END WHERE found < {2 * K}))
+    SELECT path[4:] AS rel_path, unnest(taken)[4:] AS item, up FROM walk"""
+)
+def walk_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Which files does a walk through the tree take before and after each file? One file for each event, some folders beside others that begin with their name."""
+    n, user = F.col("event_id"), F.col("user_id")
+    inner = F.when(user % 4 == 0, "").when(user % 4 == 1, F.concat(F.lit("-"), (user % 3).cast("string"))).otherwise(F.concat(F.lit("/u"), (user % 5).cast("string")))
+    rel = F.concat(F.lit("g"), F.floor(n / 64).cast("string"), inner, F.lit("/"), n.cast("string"), F.lit(".jpg"))
+    return walk.walk_candidates(_table(spark, sf, "events").select(rel.alias("rel_path")), 2 * K)
+
+
 def _section_sql(texts: str, limit: int, length: int) -> str:
     item = f"i || '. ' || CASE WHEN length({texts}[i]) > {length} THEN left({texts}[i], {length}) || '...' ELSE {texts}[i] END || chr(10)"
     items = f"array_to_string(list_transform(range(1, least(len({texts}), {limit}) + 1), lambda i: {item}), '')"
@@ -286,10 +311,14 @@ _PLACE = "CASE WHEN event_id % 4 > 0 THEN 'Place ' || event_id % 4 END"
 
 
 def _described(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(media(_table(spark, sf, "events")))
+
+
+def _shown(items: DataFrame) -> DataFrame:
     n = F.col("event_id")
     camera = F.when(n % 3 > 0, geo.camera(F.lit(" Maker "), (n % 3).cast("string")))
     place = F.when(n % 4 > 0, F.concat(F.lit("Place "), (n % 4).cast("string")))
-    return dated(_table(spark, sf, "events")).withColumns({"camera": camera, "place": place})
+    return _dates(items).withColumns({"camera": camera, "place": place})
 
 
 @query(f"""WITH {_DATED} SELECT event_id, {_template_sql(DESCRIBE_PROMPT, {'filename': 'name', 'datetime': _display_sql('dt_min'), 'location': _PLACE, 'camera': _CAMERA})} AS prompt FROM dated""")
@@ -445,7 +474,8 @@ def template_fallback(spark: SparkSession, sf: str) -> DataFrame:
 def flagship_pending_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Which images are not yet described, when were they taken, and what is stored for them?"""
     c = F.col
-    items = _described(spark, sf).where(paths.has_extension(c("name"), EXTENSIONS))
+    items = media(_table(spark, sf, "events")).where(paths.has_extension(c("name"), EXTENSIONS))
     done = items.join(_table(spark, sf, "labels"), c("event_id") == c("doc_id"), "left_semi").select("rel_path")
+    items = _shown(lookup.pending(items, done, done.where("false")))
     body = prompt.output_text(DESCRIBE_OUTPUT, F.concat(F.lit("value "), c("event_type")), c("dt_min"), c("place"), c("camera"), c("name"))
-    return lookup.pending(items, done, done.where("false")).select("rel_path", "dt_min", "dt_max", paths.output_path("/out", c("rel_path"), ".txt").alias("output_path"), body.alias("body"))
+    return items.select("rel_path", "dt_min", "dt_max", paths.output_path("/out", c("rel_path"), ".txt").alias("output_path"), body.alias("body"))

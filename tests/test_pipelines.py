@@ -1,6 +1,7 @@
 """Operators and pipelines over small tables and a tree on disk."""
 
 import os
+import random
 from datetime import datetime, timedelta
 from itertools import product
 
@@ -11,6 +12,7 @@ from photonflow import cli
 from photonflow.config import load_config
 from photonflow.media.jpeg import SIGNATURE
 from photonflow.operators import context, infer, lookup, sink
+from photonflow.operators.walk import walk_candidates
 from photonflow.plans.pipelines import Services, get_pipeline, list_pipelines, run_pipeline
 from photonflow.schema import ERRORS, OUTPUT
 from photonflow.services.geocoder import FakeGeocoder, TransientError, with_retries
@@ -93,10 +95,46 @@ def test_context_arrays_and_compat(spark):
     assert context.context_arrays(near, texts, compat=True).first()["context"] == []
 
 
-def test_walk_candidates(spark):
-    items = spark.createDataFrame([(p,) for p in ("a/1.jpg", "a/2.jpg", "b/1.jpg", "b/2.jpg", "b/3.jpg", "c/1.jpg", "z.jpg")], "rel_path string")
-    rows = context.walk_candidates(items, "/r", 1).where("rel_path = 'b/2.jpg'").orderBy("seq").collect()
-    assert [r["item"] for r in rows] == ["b/1.jpg", "a/1.jpg", "a/2.jpg", "b/3.jpg", "z.jpg"]
+def slow_walk(paths, target, enough, up):
+    """What a walk takes that lists a directory at a time."""
+    folders = {}
+    for here in paths:
+        while here:
+            folders.setdefault(here.rpartition("/")[0], set()).add(here)
+            here = here.rpartition("/")[0]
+    full = lambda p: f"/r/{p}" if p else "/r"
+    start = target.rpartition("/")[0]
+    waiting, seen, found = {start}, {start}, set()
+    while waiting and len(found) < enough:
+        here = (max if up else min)(waiting, key=full)
+        waiting.remove(here)
+        entries = {e for e in folders[here] if e != target and (full(e) < full(target)) == up}
+        found |= entries - set(folders)
+        heard = (entries & set(folders) | ({here.rpartition("/")[0]} if here else set())) - seen
+        waiting |= heard
+        seen |= heard
+    return found
+
+
+@pytest.mark.parametrize("seed, n, enough", [(1, 70, 4), (2, 150, 12), (3, 40, 1000)])
+def test_walk_against_listing_directories(spark, seed, n, enough):
+    rng, paths = random.Random(seed), set()
+    names = ["a", "a-1", "a b", "ab", "b", "a.d", "B", "é", "2022", "2022-01", "-x", "~"]  # some continue others with characters below the separator
+    while len(paths) < n:
+        paths.add("/".join([rng.choice(names) for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4]))] + [rng.choice(names) + rng.choice(["", "-2", " ", "0"]) + ".jpg"]))
+    some = sorted(paths)[:: 1 if enough > 4 else 3]
+    items = spark.createDataFrame([(p,) for p in [*paths, some[0], None]], "rel_path string")
+    got = [tuple(r) for r in walk_candidates(items, enough, items.where(F.col("rel_path").isin(some))).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(t, i, up) for t in some for up in (True, False) for i in slow_walk(paths, t, enough, up)}
+
+
+def test_walk_for_context(spark):
+    base = datetime(2020, 1, 1)
+    items = [(p, base + timedelta(hours=h), base + timedelta(hours=h)) for p, h in (("a/1.jpg", 1), ("a/2.jpg", 9), ("b/1.jpg", 3), ("b/2.jpg", 4), ("b/3.jpg", 30), ("c/1.jpg", 4), ("z.jpg", 5))] + [("b/4.jpg", None, None)]
+    rows = spark.createDataFrame(items, "rel_path string, datetime_min timestamp_ntz, datetime_max timestamp_ntz")
+    near = context.nearest(rows, 1, targets=rows.where("rel_path = 'b/2.jpg'"), walk=True)
+    assert [(r["item"], r["place"]) for r in near.collect()] == [("b/1.jpg", 1)]  # down it takes b/3 and b/4, and so has enough without c/1
+    assert context.nearest(rows.limit(0), 1, walk=True).count() == 0
 
 
 def test_context_section(spark):
