@@ -45,12 +45,23 @@ def _frame(found: Iterator[dict | None]) -> pd.DataFrame:
     return out
 
 
-def with_metadata(images: DataFrame, geocodes: DataFrame | None = None, source: str = "preferred") -> DataFrame:
-    """Adds ``metadata`` (schema METADATA) from the file at ``source`` and from ``path``.
+def unread(images: DataFrame, heads: DataFrame) -> DataFrame:
+    """Images whose file at ``preferred``, by size and time, is not that of ``heads`` (schema HEADS)."""
+    known = heads.select("rel_path", F.col("source").alias("preferred"), "size", "mtime")
+    return images.join(known, ["rel_path", "preferred", "size", "mtime"], "left_anti")
+
+
+def read_heads(images: DataFrame) -> DataFrame:
+    """``images`` as rows of HEADS; opens each file."""
+    return images.select("rel_path", F.col("preferred").alias("source"), "size", "mtime", exif_of_path(F.col("preferred")).alias("exif"))
+
+
+def with_metadata(images: DataFrame, heads: DataFrame, geocodes: DataFrame | None = None) -> DataFrame:
+    """Adds ``metadata`` (schema METADATA) from ``heads`` (schema HEADS) and from ``path``.
 
     A place is told only with coordinates; a geocode of none leaves the coordinates alone.
     """
-    rows = images.withColumn("_exif", exif_of_path(F.col(source))).withColumn("_range", path_datetime(F.col("path")))
+    rows = images.join(heads.select("rel_path", F.col("exif").alias("_exif")), "rel_path", "left").withColumn("_range", path_datetime(F.col("path")))
     if geocodes is None:
         rows = rows.withColumn("_address", F.lit(None).cast("string"))
     else:

@@ -2,63 +2,129 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from photonflow.operators.lookup import upsert
 from photonflow.schema import ERRORS, OUTPUT
 
 
+#: Parts of a table by key, and segments of a part after which a commit merges them.
+BUCKETS, SEGMENTS = 16, 8
+#: Committed states that stay.
+HISTORY = 8
+
+
 class Store:
     """The tables of an enrichment: one per kind of result, keyed by ``rel_path``, under one folder.
 
-    A table is a sequence of versions; a reader takes the newest complete one, so a run that dies while
-    writing leaves the one before in place.
+    A commit writes only the rows that change, dealt to buckets by key, as a segment of its number; of the rows of a key the latest counts, and a
+    removed one says so. It counts from the moment that the file ``log/<number>`` is whole, which names the live segments of all tables, so
+    changes of several tables are seen together or not at all, and a run that dies leaves the state before it. When a bucket has many segments, a
+    commit merges one; the merged ones go when the next is merged, so that readers of the state before can end. One run writes at a time: of two, the second fails.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._jvm = spark.sparkContext._jvm
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, path: str):
-        p = self._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _versions(self, table: str) -> dict[int, bool]:
-        """Numbers of all versions in ascending order, and whether each is complete."""
-        fs, p = self._path(f"{self.root}/{table}")
-        if not fs.exists(p):
-            return {}
-        found = {s.getPath().getName(): s.getPath() for s in fs.listStatus(p)}
-        numbers = sorted(int(n[1:]) for n in found if n[:1] == "v" and n[1:].isdigit())
-        return {n: fs.exists(self._jvm.org.apache.hadoop.fs.Path(found[f"v{n}"], "_SUCCESS")) for n in numbers}
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}" if path else self.root)
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def _state(self) -> tuple[int, dict]:
+        """(highest number that was begun, newest whole state)."""
+        numbers = sorted((int(n) for n in self._names("log") if n.isdigit()), reverse=True)
+        for n in numbers:
+            stream = self._fs.open(self._path(f"log/{n:012d}"))
+            try:
+                return numbers[0], json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except ValueError:  # a run died here
+                continue
+            finally:
+                stream.close()
+        return max(numbers, default=0), {"live": {}, "old": [], "buckets": self.buckets}
+
+    def _save(self, number: int, state: dict) -> None:
+        """Create the log file ``number``; fails if there is one."""
+        stream = self._fs.create(self._path(f"log/{number:012d}"), False)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        for old in sorted(n for n in self._names("log") if n.isdigit())[:-HISTORY]:
+            self._fs.delete(self._path(f"log/{old}"), False)
+
+    def _write(self, table: str, rows: DataFrame, buckets: int) -> list[list]:
+        """Write ``rows`` as a segment; -> [segment, bucket] of its parts."""
+        segment = f"{table}/{uuid.uuid4().hex}"
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("rel_path"), F.lit(buckets)).cast("int"))
+        dealt.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{segment}")
+        return [[segment, int(n.split("=")[1])] for n in self._names(segment) if n.startswith("bucket=")]
+
+    def _rows(self, parts: list[list], schema: T.StructType) -> DataFrame:
+        """The latest row of each key in these parts, removed ones too."""
+        full = T.StructType([*schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("_number", T.LongType())])
+        if not parts:
+            return self.spark.createDataFrame([], full)
+        rows = self.spark.read.schema(full).option("recursiveFileLookup", "true").parquet(*(f"{self.root}/{segment}/bucket={b}" for segment, b in parts))
+        if len({segment for segment, _ in parts}) == 1:
+            return rows
+        latest = rows.groupBy("rel_path").agg(F.max_by(F.struct(*(c for c in full.fieldNames() if c != "rel_path")), "_number").alias("r"))
+        return latest.select("rel_path", "r.*")
 
     def read(self, table: str, schema: T.StructType = OUTPUT) -> DataFrame:
-        complete = [n for n, done in self._versions(table).items() if done]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{complete[-1]}") if complete else self.spark.createDataFrame([], schema)
+        return self._rows(self._state()[1]["live"].get(table, []), schema).where("not _gone").select(*schema.fieldNames())
+
+    def commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame | None, T.StructType]]) -> None:
+        """For each table (rows that replace or are added, ``rel_path`` of rows that go, schema), all at once. Of rows that repeat a key one counts; a key in both stays."""
+        begun, state = self._state()
+        number = begun + 1
+        for table, (rows, keys, schema) in changes.items():
+            names = [c for c in schema.fieldNames() if c != "rel_path"]
+            parts = []
+            if rows is not None:
+                parts.append(rows.select("rel_path", F.struct(F.lit(False).alias("_gone"), *names).alias("r")))
+            if keys is not None:
+                parts.append(keys.select("rel_path", F.struct(F.lit(True).alias("_gone"), *(F.lit(None).cast(schema[c].dataType).alias(c) for c in names)).alias("r")))
+            one = F.min_by("r", F.struct("r._gone", F.xxhash64("r")))
+            both = reduce(DataFrame.unionByName, parts).where("rel_path is not null").groupBy("rel_path").agg(one.alias("r"))
+            written = self._write(table, both.select("rel_path", *(f"r.{c}" for c in names), "r._gone", F.lit(number).cast("long").alias("_number")), state["buckets"])
+            state["live"].setdefault(table, []).extend(written)
+        self._save(number, state)
+        for table, (_, _, schema) in changes.items():
+            sizes = Counter(b for _, b in state["live"][table])
+            if sizes and max(sizes.values()) > SEGMENTS:
+                self.compact(table, max(sizes, key=sizes.get), schema)
+
+    def compact(self, table: str, bucket: int, schema: T.StructType = OUTPUT) -> None:
+        """Merge the segments of one bucket into one without the rows that are gone; the segments that the merge before replaced are deleted."""
+        begun, state = self._state()
+        parts = [p for p in state["live"].get(table, []) if p[1] == bucket]
+        merged = self._write(table, self._rows(parts, schema).where("not _gone"), state["buckets"])
+        gone, state["old"] = state["old"], parts
+        state["live"][table] = [p for p in state["live"][table] if p[1] != bucket] + merged
+        self._save(begun + 1, state)
+        for segment, b in gone:
+            self._fs.delete(self._path(f"{segment}/bucket={b}"), True)
 
     def put(self, table: str, rows: DataFrame, schema: T.StructType = OUTPUT) -> None:
-        """Replace or add rows by ``rel_path`` and remove all but the last two versions."""
-        rows = rows.select(*schema.fieldNames())
-        merged = upsert(self.read(table, schema), rows)
-        self._write(table, merged)
+        """Replace or add rows by ``rel_path``."""
+        self.commit({table: (rows, None, schema)})
 
     def drop(self, table: str, keys: DataFrame, schema: T.StructType = ERRORS) -> None:
         """Remove rows by ``rel_path``."""
-        self._write(table, self.read(table, schema).join(keys.select("rel_path"), "rel_path", "left_anti"))
-
-    def _write(self, table: str, rows: DataFrame) -> None:
-        """Write the version after all that are there, complete or not; then the older ones go, but for the newest complete one."""
-        versions = self._versions(table)
-        rows.write.parquet(f"{self.root}/{table}/v{max(versions, default=-1) + 1}")
-        for old in set(versions) - {max((n for n, done in versions.items() if done), default=-1)}:
-            fs, p = self._path(f"{self.root}/{table}/v{old}")
-            fs.delete(p, True)
+        self.commit({table: (None, keys, schema)})
 
 
 def write_sidecars(rows: DataFrame, output_dir: str, suffix: str, error_suffix: str) -> DataFrame:

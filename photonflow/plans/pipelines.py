@@ -15,7 +15,7 @@ from photonflow.operators import context, infer, lookup, metadata, prompt, repai
 from photonflow.operators.links import links
 from photonflow.operators.sink import Store, write_sidecars
 from photonflow.operators.tables import stable
-from photonflow.schema import ERRORS
+from photonflow.schema import ERRORS, HEADS, OUTPUT
 from photonflow.services.geocoder import FakeGeocoder, Geocoder
 from photonflow.services.model import FakeModel, ModelClient
 from photonflow.sources.image_tree import images_and_errors, read_tree
@@ -45,13 +45,12 @@ class Run:
         c = self.config
         return lookup.pending(images, self.store.read(name), self.store.read(f"{name}_errors", ERRORS), c.retry, c.retry_failed, c.compat)
 
-    def finish(self, name: str, rows: DataFrame) -> DataFrame:
-        """Store ``rows(rel_path, text, error)`` once; -> outcome of each."""
+    def finish(self, name: str, rows: DataFrame, cleared: dict[str, DataFrame] | None = None) -> DataFrame:
+        """Store ``rows(rel_path, text, error)`` once, results and errors in one commit; ``cleared``: errors of other stages that go with it. -> outcome of each."""
         rows = stable(rows.select("rel_path", "text", "error"), name)
         good, bad = lookup.split_outcomes(rows)
-        self.store.put(name, good)
-        self.store.put(f"{name}_errors", bad, ERRORS)
-        self.store.drop(f"{name}_errors", good)
+        others = {f"{stage}_errors": (None, keys, ERRORS) for stage, keys in (cleared or {}).items()}
+        self.store.commit({name: (good, None, OUTPUT), f"{name}_errors": (bad, good, ERRORS)} | others)
         if self.sidecars and self.config.output_dir:
             stable(write_sidecars(rows, self.config.output_dir, *lookup.SUFFIXES[name]), "sidecars").where("problem is not null").count()
         return rows.select("rel_path", F.when(F.col("error").isNull(), DONE).otherwise(FAILED).alias("outcome"), F.lit(1).alias("output_count"))
@@ -61,6 +60,16 @@ class Run:
         fixed = self.store.read("fix-jpeg").select("rel_path", F.col("text").alias("_fixed"))
         return lookup.without_fixed(self.listing, self.config.compat).join(fixed, "rel_path", "left").withColumn("preferred", F.coalesce("_fixed", "path")).drop("_fixed")
 
+    def heads(self, images: DataFrame) -> DataFrame:
+        """What the files' heads say; only files that are new or changed since a run before are opened."""
+        new = stable(metadata.read_heads(metadata.unread(images, self.store.read("heads", HEADS))), "heads")
+        if not new.isEmpty():
+            self.store.put("heads", new, HEADS)
+        return self.store.read("heads", HEADS)
+
+    def told(self, images: DataFrame, geocodes: DataFrame | None = None) -> DataFrame:
+        return metadata.with_metadata(images, self.heads(images), geocodes)
+
     def geocodes(self) -> DataFrame:
         return self.store.read("geolocate")
 
@@ -68,7 +77,7 @@ class Run:
 def describe(run: Run) -> DataFrame:
     """Images -> metadata -> prompt -> vision model -> description text."""
     c = run.config
-    rows = metadata.with_metadata(run.todo("describe", run.images()), run.geocodes())
+    rows = run.told(stable(run.todo("describe", run.images()), "todo"), run.geocodes())
     m = lambda name: F.col(f"metadata.{name}")
     asked = rows.select("rel_path", "dir", "depth", "name", "metadata", "preferred", prompt.describe_prompt(c.prompt, m("datetime"), m("location_str"), m("camera"), m("filename"), c.compat).alias("prompt"))
     asked = stable(asked, "asked")  # it is read twice, and reads every image's head
@@ -84,7 +93,7 @@ def enhance(run: Run) -> DataFrame:
     """
     c = run.config
     known = lookup.with_text(run.images(), run.store.read("describe"), "description")
-    told = stable(metadata.with_metadata(known, run.geocodes()), "metadata")
+    told = stable(run.told(known, run.geocodes()), "metadata")
     items = told.select("rel_path", "description", F.col("metadata.datetime_min").alias("datetime_min"), F.col("metadata.datetime_max").alias("datetime_max"))
     todo = run.todo("enhance", told)
     near = context.nearest(items, c.max_context_items, c.context_window_days, todo.where("description is not null"), walk=c.compat)
@@ -107,7 +116,7 @@ def enhance(run: Run) -> DataFrame:
 def geolocate(run: Run) -> DataFrame:
     """Images -> coordinates -> address; an image without coordinates or address gets the mark for none."""
     c = run.config
-    rows = stable(metadata.with_metadata(run.todo("geolocate", run.images())), "metadata")
+    rows = stable(run.told(stable(run.todo("geolocate", run.images()), "todo")), "metadata")
     found = infer.geocode(rows, run.services.geocoder, c.geocode_partitions, c.geocode_attempts, c.geocode_wait)
     return run.finish("geolocate", found.withColumn("text", written_address(F.col("address"))))
 
@@ -122,10 +131,9 @@ def fix_jpeg(run: Run) -> DataFrame:
     todo = run.todo("fix-jpeg", run.images())
     broken = repair.repairable(todo, run.store.read("describe_errors", ERRORS))
     fixed = stable(repair.repair_images(broken, run.config.output_dir or run.config.input_dir, run.config.jpeg_quality), "repaired")
-    run.store.drop("describe_errors", fixed.where("error is null"))
     others = todo.join(fixed.select("rel_path"), "rel_path", "left_anti").select("rel_path", F.lit(REJECTED), F.lit(0))
     rejected = stable(others.toDF("rel_path", "outcome", "output_count"), "rejected")
-    return run.finish("fix-jpeg", fixed.withColumn("text", F.col("fixed_path"))).unionAll(rejected)
+    return run.finish("fix-jpeg", fixed.withColumn("text", F.col("fixed_path")), {"describe": fixed.where("error is null")}).unionAll(rejected)
 
 
 PIPELINES: dict[str, tuple[str, Callable[[Run], DataFrame]]] = {

@@ -22,3 +22,5 @@ METADATA = T.StructType([
 
 OUTPUT = T.StructType([T.StructField("rel_path", T.StringType()), T.StructField("text", T.StringType())])
 ERRORS = T.StructType([T.StructField("rel_path", T.StringType()), T.StructField("error", T.StringType())])
+#: What was read from an image's head, and of which file: read again when the file is another.
+HEADS = T.StructType([T.StructField("rel_path", T.StringType()), T.StructField("source", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.DoubleType()), T.StructField("exif", EXIF)])

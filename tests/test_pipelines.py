@@ -14,7 +14,7 @@ from photonflow.media.jpeg import SIGNATURE
 from photonflow.operators import context, infer, lookup, sink
 from photonflow.operators.walk import walk_candidates
 from photonflow.plans.pipelines import Services, get_pipeline, list_pipelines, run_pipeline
-from photonflow.schema import ERRORS, OUTPUT
+from photonflow.schema import ERRORS, HEADS, OUTPUT
 from photonflow.services.geocoder import FakeGeocoder, TransientError, with_retries
 from photonflow.services.model import FakeModel
 from photonflow.sources.image_tree import images_and_errors, read_tree
@@ -162,18 +162,95 @@ def test_model_errors_become_rows(spark):
     assert got["b"] == (None, "RuntimeError: model refused") and got["a"][0].startswith("reply ") and got["c"][1] is None
 
 
-def test_store_versions(spark, tmp_path):
-    store = sink.Store(spark, f"file://{tmp_path}/store")
-    assert store.read("t").count() == 0
-    store.put("t", spark.createDataFrame([("a", "1"), ("b", "2")], OUTPUT))
-    store.put("t", spark.createDataFrame([("b", "3")], OUTPUT))
-    assert {r["rel_path"]: r["text"] for r in store.read("t").collect()} == {"a": "1", "b": "3"}
-    os.remove(tmp_path / "store/t/v1/_SUCCESS")  # a version that was not completed does not count
-    assert {r["rel_path"]: r["text"] for r in store.read("t").collect()} == {"a": "1", "b": "2"}
-    store.put("t", spark.createDataFrame([("c", "4")], OUTPUT))  # goes on after it, and clears it away later
-    assert {r["rel_path"]: r["text"] for r in store.read("t").collect()} == {"a": "1", "b": "2", "c": "4"}
-    store.put("t", spark.createDataFrame([("c", "5")], OUTPUT))
-    assert {r["rel_path"]: r["text"] for r in store.read("t").collect()} == {"a": "1", "b": "2", "c": "5"} and len(os.listdir(tmp_path / "store/t")) == 2
+def held(store, table="t", schema=OUTPUT):
+    return {r[0]: r[1] for r in store.read(table, schema).collect()}
+
+
+def test_store_latest_wins(spark, tmp_path):
+    store = sink.Store(spark, f"file://{tmp_path}/store", buckets=4)
+    assert held(store) == {}
+    store.put("t", spark.createDataFrame([("a", "1"), ("b", "2"), (None, "x")], OUTPUT))
+    store.put("t", spark.createDataFrame([("b", "3"), ("b", "3"), ("c", None)], OUTPUT))
+    assert held(store) == {"a": "1", "b": "3", "c": None}
+    store.drop("t", spark.createDataFrame([("a",), ("z",)], "rel_path string"), OUTPUT)
+    assert held(store) == {"b": "3", "c": None}
+    store.put("t", spark.createDataFrame([("a", "4")], OUTPUT))
+    for b in range(4):
+        store.compact("t", b)
+    assert held(store) == {"a": "4", "b": "3", "c": None} and held(sink.Store(spark, f"file://{tmp_path}/store")) == held(store)
+
+
+def test_store_writes_what_changes_and_merges_a_bucket_at_a_time(spark, tmp_path, monkeypatch):
+    size = lambda: {f: f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet")}
+    store = sink.Store(spark, f"file://{tmp_path}/store", buckets=4)
+    store.put("t", spark.range(20_000).selectExpr("concat('p', id) as rel_path", "sha2(cast(id as string), 512) as text"))
+    whole = size()
+    store.put("t", spark.range(200).selectExpr("concat('p', id) as rel_path", "sha2(concat('new', id), 512) as text"))
+    assert sum(n for f, n in size().items() if f not in whole) < 0.05 * sum(whole.values())
+    monkeypatch.setattr(sink, "SEGMENTS", 2)
+    store.put("t", spark.createDataFrame([("p5", "x"), ("p6", "y")], OUTPUT))
+    parts = [b for _, b in store._state()[1]["live"]["t"]]
+    assert sorted(parts.count(b) for b in range(4))[0] == 1 and store.read("t").count() == 20_000  # one bucket is merged
+    assert store.read("t").where("rel_path in ('p5', 'p6')").select("text").distinct().count() == 2
+
+
+def test_store_survives_a_run_that_dies_at_any_step(spark, tmp_path, monkeypatch):
+    store = sink.Store(spark, f"file://{tmp_path}/store", buckets=2)
+    store.put("t", spark.createDataFrame([("a", "1")], OUTPUT))
+    store.put("t_errors", spark.createDataFrame([("b", "bad")], ERRORS), ERRORS)
+    good, bad = spark.createDataFrame([("b", "2")], OUTPUT), spark.createDataFrame([("a", "worse")], ERRORS)
+    change = {"t": (good, bad, OUTPUT), "t_errors": (bad, good, ERRORS)}
+    before, after = ({"a": "1"}, {"b": "bad"}), ({"b": "2"}, {"a": "worse"})
+    both = lambda: (held(store), held(store, "t_errors", ERRORS))
+
+    def died(*_):
+        raise KeyboardInterrupt
+
+    write = sink.Store._write
+    for step in ("first table", "second table", "log"):
+        with monkeypatch.context() as m:
+            if step == "first table":
+                m.setattr(sink.Store, "_write", died)
+            elif step == "second table":
+                m.setattr(sink.Store, "_write", lambda self, table, *a: write(self, table, *a) if table == "t" else died())
+            else:
+                m.setattr(sink.Store, "_save", died)
+            with pytest.raises(KeyboardInterrupt):
+                store.commit(change)
+        assert both() == before
+    (tmp_path / "store/log/000000000003").write_text('{"live": {"t"')  # died while writing the log
+    assert both() == before
+    store.commit(change)
+    assert both() == after
+    with monkeypatch.context() as m:
+        m.setattr(sink.Store, "_save", died)
+        with pytest.raises(KeyboardInterrupt):
+            store.compact("t", 0)
+    assert both() == after
+    for b in (0, 1, 0, 1):
+        store.compact("t", b)
+    assert both() == after
+    second = sink.Store(spark, f"file://{tmp_path}/store")
+    number = second._state()[0]
+    store.put("t", good)
+    with pytest.raises(Exception, match="exists"):  # another run was first
+        second._save(number + 1, {})
+
+
+def test_heads_are_read_once(spark, tree, tmp_path, monkeypatch):
+    store = f"file://{tmp_path}/store"
+    c = load_config(input_dir=str(tree), output_dir=str(tmp_path / "out"), model="m", enhance_model="e")
+    run_pipeline(spark, "describe", c, store)
+    tables = sink.Store(spark, store)
+    numbers = lambda: {r["rel_path"]: r["mtime"] for r in tables.read("heads", HEADS).collect()}
+    first = numbers()
+    assert len(first) == 5
+    segments = len(tables._state()[1]["live"]["heads"])
+    run_pipeline(spark, "enhance", c, store)
+    assert len(tables._state()[1]["live"]["heads"]) == segments  # nothing was read again
+    os.utime(tree / "geo/g.jpg", (1, 1))
+    run_pipeline(spark, "enhance", c.with_options(retry=True), store)
+    assert {k for k, v in numbers().items() if v != first[k]} == {"geo/g.jpg"}
 
 
 def test_sidecars(spark, tmp_path):
