@@ -48,6 +48,9 @@ class PipelineConfig:
     geocode_attempts: int = 5
     geocode_wait: float = 1.0
     jpeg_quality: int = 95
+    in_flight: int = 1
+    status_interval: float | None = None
+    verbose: bool = False
 
     def with_options(self, **options: object) -> PipelineConfig:
         """A copy with the options that are not None; a prompt ``@file`` is read from that file."""
@@ -68,7 +71,7 @@ _TOML = {
     ("enhancement", "output_format"): "enhance_output_format", ("enhancement", "context_template"): "context_template", ("enhancement", "context_item_template"): "context_item_template",
     ("enhancement", "context_item_max_length"): "context_item_max_length", ("enhancement", "max_context_in_prompt"): "max_context_in_prompt", ("enhancement", "max_context_items"): "max_context_items",
     ("enhancement", "max_context_length"): "max_context_length", ("enhancement", "context_window_days"): "context_window_days", ("enhancement", "model_context_length"): "model_context_length",
-    ("sorting", "order"): "sort_order", ("retry", "failed"): "retry_failed",
+    ("sorting", "order"): "sort_order", ("retry", "failed"): "retry_failed", ("threads", "llm"): "model_partitions", ("performance", "backpressure_multiplier"): "in_flight", ("ui", "status_interval"): "status_interval", ("ui", "verbose"): "verbose",
 }
 
 
@@ -80,5 +83,5 @@ def load_config(path: str | Path | None = None, **options: object) -> PipelineCo
         for (section, key), name in _TOML.items():
             if key in data.get(section, {}):
                 value = data[section][key]
-                values[name] = tuple(value) if isinstance(value, list) else value
+                values[name] = tuple(value) if isinstance(value, list) else max(1, int(value)) if name == "in_flight" else value
     return PipelineConfig().with_options(**values).with_options(**options)

@@ -8,12 +8,16 @@ from typing import Protocol
 
 
 class TransientError(RuntimeError):
-    """Timeouts, unavailable services, broken connections: worth another attempt."""
+    """Timeouts, unavailable services, broken connections: worth another attempt, after ``after`` seconds at least."""
+
+    def __init__(self, message: str = "", after: float = 0.0) -> None:
+        super().__init__(message)
+        self.after = after
 
 
 class Geocoder(Protocol):
-    def reverse(self, lat: float, lon: float) -> tuple[str, list[tuple[str, str]]] | None:
-        """(address, address parts in order), or None where there is none."""
+    def reverse(self, lat: float, lon: float) -> tuple[str, list[tuple[str, str]]] | str | None:
+        """(address, address parts in order), a JSON reply that says both, or None where there is none."""
 
 
 class FakeGeocoder:
@@ -36,9 +40,9 @@ def with_retries(call: Callable[[], object], attempts: int = 5, wait: float = 1.
     for k in range(attempts):
         try:
             return call()
-        except TransientError:
+        except TransientError as e:
             if k == attempts - 1:
                 raise
             wait *= 2
-            sleep(wait)
+            sleep(max(wait, e.after))
     raise ValueError("attempts must be positive")
