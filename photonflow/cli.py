@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output-dir", dest="output_flag")
     p.add_argument("--config", help="TOML file with defaults")
     p.add_argument("--store", help="folder of the result tables; by default in the output folder")
-    p.add_argument("--backend", choices=["fake", "http"], default="fake", help="client of the model")
+    p.add_argument("--backend", default="fake", help="client of the model: http, or one that is registered")
     p.add_argument("--url", help="server of the model, for --backend http; its key is read from MODEL_API_KEY")
     p.add_argument("--uploads", action="store_true", help="send each image once, by its digest")
     p.add_argument("--geocoder", choices=["fake", "http"], default="fake")
@@ -65,9 +65,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     config = config.with_options(output_dir=config.output_dir or config.input_dir)
     spark = spark or SparkSession.builder.appName("photonflow").getOrCreate()
     share = lambda clients: a.per_second / clients if a.per_second else None
-    factory, places = backend(a.backend), FakeGeocoder
+    places = FakeGeocoder
     if a.backend == "http":
         factory = partial(HttpModel, a.url or parser().error("--backend http needs --url"), env("MODEL_API_KEY"), per_second=share(config.model_partitions), uploads=a.uploads)
+    else:
+        factory = backend(a.backend)
     if a.geocoder == "http":
         places = partial(HttpGeocoder, a.geocoder_url or parser().error("--geocoder http needs --geocoder-url"), per_second=share(config.geocode_partitions) or 1.0)
     services = Services(factory, factory, places, Symlinks if a.links else None)

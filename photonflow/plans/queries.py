@@ -409,6 +409,45 @@ def exposure_format(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", geo.shutter(seconds).alias("shutter"), geo.iso(100 * c("l_linenumber")).alias("iso"), geo.aperture(c("l_quantity")).alias("aperture"))
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, printf('%.0f', v) AS none, printf('%.1f', v) AS one, printf('%.6f', v) AS six FROM (
+    SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice / 8 - 4000 WHEN 1 THEN l_quantity / 20 - 1 ELSE l_extendedprice * l_tax / l_quantity END AS v FROM lineitem)"""
+)
+def fixed_point(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers as text with decimals, many of them ties or next to one."""
+    c = F.col
+    kind = c("l_linenumber") % 3
+    v = F.when(kind == 0, c("l_extendedprice") / 8 - 4000).when(kind == 1, c("l_quantity") / 20 - 1).otherwise(c("l_extendedprice") * c("l_tax") / c("l_quantity"))
+    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(geo.fixed_point(v, n).alias(name) for name, n in (("none", 0), ("one", 1), ("six", 6))))
+
+
+_PROPS = "json_extract_string(props, '$.\"' || k || '\"')"
+
+
+@query(
+    f"""SELECT event_id, string_agg(k || ': ' || coalesce({_PROPS}, 'null'), ', ' ORDER BY i) AS entries
+    FROM (SELECT event_id, props, unnest(json_keys(props)) AS k, generate_subscripts(json_keys(props), 1) AS i FROM events) GROUP BY event_id"""
+)
+def json_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of a JSON object in their order."""
+    entries = F.transform(geo.object_entries(F.col("props")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null"))))
+    return _table(spark, sf, "events").select("event_id", F.array_join(entries, ", ").alias("entries")).where("entries <> ''")
+
+
+@query(
+    """SELECT c_custkey, 'Street ' || c_custkey || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' | shop: ' || c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ', "é": ' || c_mktsegment END END AS address FROM customer WHERE c_custkey % 5 > 0"""
+)
+def geocoder_reply(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses and points of interest from a geocoder's JSON replies."""
+    n, text = F.col("c_custkey"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    last = F.when(n % 3 == 0, F.lit('"\\"é\\"": ""')).otherwise(text('"\\"\\u00e9\\"": "', F.col("c_mktsegment"), '"'))
+    more = F.when(n % 4 == 0, F.lit('"office": 0')).otherwise(text('"shop": "', F.col("c_name"), '", ', last))
+    found = text('{"place_id": 1, "address": {"road": "x", ', more, ', "postcode": "1"}, "display_name": "Street ', n, '"}')
+    place = geo.decoded_place(F.when(n % 5 > 0, found).otherwise('{"error": "Unable to geocode"}'))
+    rows = _table(spark, sf, "customer").select("c_custkey", place.alias("p"))
+    return rows.select("c_custkey", geo.full_address(F.col("p.line"), F.col("p.parts")).alias("address")).where("address is not null")
+
+
 @query(
     """SELECT 'result' AS kind, event_id, event_type AS body FROM events WHERE event_type <> 'error'
     UNION ALL SELECT 'error', event_id, 'failed: ' || user_id FROM events WHERE event_type = 'error'"""

@@ -80,7 +80,7 @@ class HttpModel:
 
     def __init__(self, url: str, key: str | None = None, timeout: float = 600, attempts: int = 4, wait: float = 0.5, per_second: float | None = None, uploads: bool = False) -> None:
         self.http = Http(url, timeout, per_second, {"Authorization": f"Bearer {key}"} if key else {})
-        self.attempts, self.wait, self.uploads, self.model = attempts, wait, uploads, ""
+        self.attempts, self.wait, self.uploads, self.model, self.context_length = attempts, wait, uploads, "", None
 
     def open(self, model: str, context_length: int | None = None) -> None:
         self.model, self.context_length = model, context_length

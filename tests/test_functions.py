@@ -117,3 +117,20 @@ def test_stats(spark):
     c = F.col
     lines = rows.select("s", stats.stats_line(c("input"), c("output"), c("failed"), c("rejected"), c("diff")).alias("x"))
     assert {r["s"]: r["x"] for r in lines.collect()} == {"a": "3>1F4D", "b": "1R1D", "c": "1F0D", "d": "1>0D"}
+
+
+def test_fixed_point_is_that_of_the_exact_binary_value(spark):
+    rng = random.Random(1)
+    some = lambda: rng.choice([rng.uniform(0, 10), rng.uniform(-200, 200), 10 ** rng.uniform(-12, 18), rng.randrange(10**6) / 64, rng.randrange(400) / 8 - 20, rng.randrange(10**4) / 100])
+    values = [some() for _ in range(100_000)] + [k + t / 20 for k in range(-30, 30) for t in range(20)] + [0.0, -0.0, 5e-324, 0.95, 99.95, 9.2e18, float("inf"), float("-inf"), float("nan")]
+    for places in (0, 1, 6):
+        assert column(spark, values, lambda c: geo.fixed_point(c, places), "double") == [f"{v:.{places}f}" for v in values]  # noqa: B023
+    assert column(spark, [None, 2.0**63], lambda c: geo.fixed_point(c, 1), "double") == [None, None]
+
+
+def test_json_objects_keep_their_order(spark):
+    texts = ['{"b":"x\\"y \\u00e9","a":1,"n":null,"t":true,"o":{"k": [1]},"b":"last"}', "{}", "[1]", "no", None]
+    got = [None if x is None else [tuple(e) for e in x] for x in column(spark, texts, geo.object_entries)]
+    assert got == [[("b", "last"), ("a", "1"), ("n", None), ("t", "true"), ("o", '{"k":[1]}')], [], None, None, None]
+    replies = ['{"display_name":"A","address":{"shop":"s","z":0,"f":false,"e":""}}', '{"display_name":"A"}', '{"error":"x"}', "no", None]
+    assert column(spark, replies, lambda c: geo.full_address(geo.decoded_place(c)["line"], geo.decoded_place(c)["parts"])) == ["A | shop: s", "A", None, None, None]

@@ -1,0 +1,274 @@
+"""Runs that are followed, stopped and gone on with; stages; clients against a server on this machine."""
+
+import fcntl
+import json
+import os
+import threading
+import time
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+from pyspark.sql import functions as F
+
+from photonflow import cli
+from photonflow.config import load_config
+from photonflow.operators import infer, journal, sink
+from photonflow.operators.links import Symlinks
+from photonflow.plans import pipelines
+from photonflow.plans.graph import Pipeline, Stage
+from photonflow.plans.pipelines import Services, run_pipeline
+from photonflow.schema import ERRORS
+from photonflow.services.geocoder import TransientError
+from photonflow.services.http import HttpGeocoder, HttpModel, Pace, Refused
+from tests.test_media import sample
+
+
+class LoggingModel:
+    """Writes when it is opened, asked and closed to a file that all processes share."""
+
+    def __init__(self, log, seconds=0.0):
+        self.log, self.seconds, self.name = log, seconds, f"{os.getpid()}-{id(self)}"
+
+    def say(self, *what):
+        with open(self.log, "a") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            f.write(json.dumps([self.name, *what, time.time()]) + "\n")
+
+    def open(self, model, context_length=None):
+        self.say("open")
+
+    def respond(self, prompt, image=None):
+        self.say("ask", prompt)
+        time.sleep(self.seconds)
+        self.say("told", prompt)
+        if "bad" in prompt:
+            raise RuntimeError("no")
+        return f"reply to {prompt}"
+
+    def close(self):
+        self.say("close")
+
+
+def log_of(path):
+    return [json.loads(x) for x in path.read_text().splitlines()] if path.exists() else []
+
+
+def prompts(spark, n):
+    return spark.createDataFrame([(f"p{i:04d}", f"say {i}" + (" bad" if i % 10 == 3 else "")) for i in range(n)], "rel_path string, prompt string")
+
+
+def test_clients_and_requests_in_flight_are_bounded_and_answers_keep_their_order(spark, tmp_path):
+    log = tmp_path / "log"
+    got = infer.ask_model(prompts(spark, 60), lambda: LoggingModel(log, 0.03), "m", 2, in_flight=3, journal=f"file://{tmp_path}/j").collect()
+    assert len(got) == 60 and sum(r["error"] is not None for r in got) == 6
+    clients, asked = Counter(), Counter()
+    most_clients = most_asked = 0
+    for name, what, *_ in log_of(log):
+        clients[name] += {"open": 1, "close": -1}.get(what, 0)
+        asked[name] += {"ask": 1, "told": -1}.get(what, 0)
+        most_clients, most_asked = max(most_clients, sum(clients.values())), max(most_asked, max(asked.values()))
+    assert most_clients <= 2 and most_asked == 3 and not +clients
+    import pyarrow.parquet as pq
+
+    for f in (tmp_path / "j").glob("*.parquet"):
+        told = [r["rel_path"] for r in pq.read_table(f).to_pylist()]
+        begun = [x[2] for x in log_of(log) if x[1] == "ask"]
+        assert told  # in the order in which the partition asked
+        place = {p: i for i, p in enumerate(begun)}
+        texts = dict(prompts(spark, 60).collect())
+        assert all(place[texts[a]] < place[texts[b]] + 3 for a, b in zip(told, told[1:]))
+
+
+def test_what_is_in_the_journal_is_not_asked_again(spark, tmp_path):
+    log, folder = tmp_path / "log", f"file://{tmp_path}/j"
+    ask = lambda rows, model: {r["rel_path"]: r["content"] for r in infer.ask_model(rows, lambda: LoggingModel(log), model, 2, journal=folder).collect()}
+    rows = prompts(spark, 20)
+    first = ask(rows, "m")
+    n = sum(x[1] == "ask" for x in log_of(log))
+    assert ask(rows.unionAll(rows.limit(1)).distinct(), "m") == first and sum(x[1] == "ask" for x in log_of(log)) == n == 20
+    ask(rows.limit(3), "another model")
+    ask(rows.limit(2).withColumn("prompt", F.lit("other")), "m")
+    assert sum(x[1] == "ask" for x in log_of(log)) == 25
+
+
+def test_a_task_that_is_tried_again_asks_the_rest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(journal, "FILE_ROWS", 4)
+    log, kept = tmp_path / "log", journal.Journal(spark, f"file://{tmp_path}/j")
+    rows = prompts(spark, 14).where("prompt not like '%bad'").withColumn("asked", F.lit(1).cast("long")).coalesce(1)
+    flag = str(tmp_path / "died")
+
+    def opened():
+        model = LoggingModel(log)
+
+        def call(row):
+            if row["rel_path"] == "p0009" and not os.path.exists(flag):
+                open(flag, "w").close()
+                raise SystemError("the executor is lost")
+            model.respond(row["prompt"])
+            return row["rel_path"], 1, "x", None
+
+        return call, lambda: None
+
+    with pytest.raises(Exception):  # noqa: B017
+        journal.ask(rows, kept, infer.REPLIES, ["rel_path", "asked"], opened)
+    assert journal.progress(kept.names()) == (8, 0)
+    journal.ask(rows, kept, infer.REPLIES, ["rel_path", "asked"], opened)
+    asked = Counter(x[2] for x in log_of(log) if x[1] == "ask")
+    assert journal.progress(kept.names()) == (12, 0) and len(asked) == 12 and asked["say 0"] == 1 and asked["say 7"] == 1
+
+
+@pytest.fixture()
+def tree(tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    for i in range(24):
+        (root / f"{i:02d}.jpg").write_bytes(sample() if i % 8 == 0 else b"x")
+    return root
+
+
+def test_a_stopped_run_keeps_its_answers_and_the_next_asks_the_rest(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.setattr(journal, "FILE_ROWS", 2)
+    log, store, said = tmp_path / "log", f"file://{tmp_path}/store", []
+    c = load_config(input_dir=str(tree), output_dir=str(tmp_path / "out"), model="m", model_partitions=2, prompt="say {filename}")
+    services = Services(vision=lambda: LoggingModel(log, 0.5))
+    watch = journal.Watch(interval=0.5, verbose=True, say=said.append)
+
+    def stop():
+        while sum(x[1] == "told" for x in log_of(log)) < 8:
+            time.sleep(0.1)
+        watch.stop.set()
+
+    thread = threading.Thread(target=stop)
+    thread.start()
+    line = run_pipeline(spark, "describe", c, store, services, watch=watch)
+    thread.join()
+    tables = sink.Store(spark, store)
+    kept = {r["rel_path"] for r in tables.read("describe").collect()}
+    assert 2 <= len(kept) < 24 and line == f"describe: {len(kept)}D" and any("→" in x for x in said)
+    before = len(log_of(log))
+    more, again = journal.Watch(interval=0.3, say=said.append), []
+    more.say = again.append
+    assert run_pipeline(spark, "describe", c, store, Services(vision=lambda: LoggingModel(log)), watch=more) == f"describe: {24 - len(kept)}D"
+    asked = {x[2].removeprefix("say ") for x in log_of(log)[before:] if x[1] == "ask"}
+    assert asked.isdisjoint(kept) and len(asked) == 24 - len(kept) and tables.read("describe").count() == 24
+    # what each line calls new adds up to the total
+    lines = [x.split(": ", 1)[1] for x in again if "model: " in x]
+    new = sum(int(x.split("D now")[0]) for x in lines)
+    assert new == 24 - len(kept) and lines[-1].endswith(f" {new}D in all") and f"discover: 24D | skip: {len(kept)}R{new}D | describe: {new}D" in again[-1]
+
+
+def test_stages_and_a_pipeline_of_ones_own(spark, tree, tmp_path, monkeypatch):
+    work = lambda run, rows: rows
+    with pytest.raises(ValueError, match="wait for each other"):
+        Pipeline(Stage("a", work, ("b",)), Stage("b", work, ("a",))).order()
+    with pytest.raises(ValueError, match="no stage 'x'"):
+        Pipeline(Stage("a", work, ("x",))).order()
+    with pytest.raises(ValueError, match="there is a stage"):
+        Pipeline(Stage("a", work)).add_task(Stage("a", work))
+    monkeypatch.setattr(pipelines, "PIPELINES", dict(pipelines.PIPELINES))
+    own = Pipeline(Stage("count", lambda run, rows: run.finish("count", rows.select("rel_path", F.col("size").cast("string").alias("text"), F.when(F.col("name") == "23.jpg", "odd").alias("error"))), ("even", "large")))
+    own.add_task(Stage("all", lambda run, rows: run.todo("count", rows))).add_task(Stage("even", lambda run, rows: rows.where("size = 1 and name like '%2.jpg'"), ("all",))).add_task(Stage("large", lambda run, rows: rows.where("size > 1 or name = '23.jpg'"), ("all",)))
+    assert [s.name for s in own.order()] == ["all", "even", "large", "count"] and list(own.get_all_tasks()) == ["count", "all", "even", "large"] and own.get_task("even").after == ("all",)
+    pipelines.register_pipeline("count", "sizes", own)
+    c, store = load_config(input_dir=str(tree)), f"file://{tmp_path}/store"
+    assert run_pipeline(spark, "count", c, store) == "count: 1F6D"
+    assert {r["rel_path"] for r in sink.Store(spark, store).read("count").collect()} == {"02.jpg", "12.jpg", "22.jpg", "00.jpg", "08.jpg", "16.jpg"}
+    assert run_pipeline(spark, "count", c, store) == "count: 0D"
+    assert {k: [s.name for s in p.order()] for k, (_, p) in pipelines.PIPELINES.items() if k != "count"} == {k: ["discover", "skip", k] for k in ("describe", "enhance", "geolocate", "shortcut", "fix-jpeg")}
+
+
+def test_shortcuts_as_files(spark, tree, tmp_path):
+    (tree / "old.lnk").write_text("x")
+    c = load_config(input_dir=str(tree), output_dir=str(tmp_path / "out"))
+    assert run_pipeline(spark, "shortcut", c, f"file://{tmp_path}/s", Services(linker=Symlinks)) == "shortcut: 25D"
+    assert os.path.realpath(tmp_path / "out/03.jpg.lnk") == str(tree / "03.jpg")
+
+
+class Server(BaseHTTPRequestHandler):
+    """Chat completions, images by digest and reverse geocoding; the first request to each path of ``busy`` is told to come again."""
+
+    def log_message(self, *_):
+        pass
+
+    def answer(self, code, body=b"", **headers):
+        self.send_response(code)
+        for k, v in headers.items():
+            self.send_header(k.replace("_", "-"), v)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        if self.command != "HEAD":
+            self.wfile.write(body)
+
+    def handle_any(self):
+        s = self.server
+        body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+        path = self.path.split("?")[0]
+        with s.lock:
+            s.seen.append((self.command, path, time.monotonic()))
+            if path in s.busy:
+                s.busy.remove(path)
+                return self.answer(503, b"busy", Retry_After="0.2")
+        if path.startswith("/images/"):
+            if self.command == "PUT":
+                s.images[path] = body
+            return self.answer(200 if path in s.images else 404)
+        if path == "/reverse":
+            lat = self.path.split("lat=")[1].split("&")[0]
+            return self.answer(200, json.dumps({"display_name": f"Street {lat}", "address": {"road": "r", "shop": "Shöp \"x\"", "tourism": "", "amenity": "Bar"}}).encode())
+        asked = json.loads(body)
+        content = asked["messages"][0]["content"]
+        text = content if isinstance(content, str) else content[0]["text"] + " " + content[1]["image_url"]["url"][:23]
+        if "05.jpg" in text:
+            return self.answer(400, b"VipsJpeg: broken")
+        self.answer(200, json.dumps({"choices": [{"message": {"content": f"{asked['model']}: {text}"}}]}).encode())
+
+    do_GET = do_POST = do_HEAD = do_PUT = handle_any
+
+
+@pytest.fixture()
+def server():
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    s.lock, s.seen, s.busy, s.images = threading.Lock(), [], ["/reverse", "/v1/chat/completions"], {}
+    s.url = f"http://127.0.0.1:{s.server_address[1]}"
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield s
+    s.shutdown()
+
+
+def test_clients_alone(server):
+    model = HttpModel(server.url, wait=0.01, uploads=True)
+    model.open("m", 100)
+    assert model.respond("hi") == "m: hi" and server.busy == ["/reverse"]
+    assert model.respond("see", b"\x89PNG1").startswith("m: see http://127.0.0.1") and model.respond("see", b"\x89PNG1")
+    assert [x[0] for x in server.seen if x[1].startswith("/images")] == ["HEAD", "PUT", "HEAD"] and list(server.images.values()) == [b"\x89PNG1"]
+    with pytest.raises(Refused, match="400 VipsJpeg: broken"):
+        model.respond("05.jpg")
+    with pytest.raises(TransientError):
+        HttpGeocoder(server.url).reverse(1.5, 2.0)
+    assert json.loads(HttpGeocoder(server.url).reverse(1.5, 2.0))["display_name"] == "Street 1.5"
+    with pytest.raises(TransientError):
+        HttpModel("http://127.0.0.1:9", attempts=1).respond("x")
+    pace, began = Pace(50), time.monotonic()
+    threads = [threading.Thread(target=pace.wait) for _ in range(11)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert time.monotonic() - began >= 0.19
+
+
+def test_command_line_against_a_server(spark, tree, tmp_path, server, capsys, monkeypatch):
+    store = ["--store", f"file://{tmp_path}/s"]
+    monkeypatch.setenv("INPUT_DIR", str(tree))
+    monkeypatch.setenv("OUTPUT_DIR", str(tmp_path / "o"))
+    monkeypatch.setenv("MODEL_NAME", "env-model")
+    monkeypatch.setenv("PROMPT", "what is {filename}")
+    assert cli.main(["geolocate", "--geocoder", "http", "--geocoder-url", server.url, "--per-second", "100", *store], spark) == "geolocate: 24D"
+    assert cli.main(["describe", "--backend", "http", "--url", server.url, "--uploads", "--debug", "--status-interval", "0.5", "-v", *store], spark) == "describe: 1F23D"
+    out = capsys.readouterr().out
+    assert "model: " in out and "discover: 24D | skip: 24D | describe: 1F23D" in out
+    tables = sink.Store(spark, store[1])
+    text = {r["rel_path"]: r["text"] for r in tables.read("describe").collect()}
+    assert "Locatie: -52.510000, 5.000000 | Street -52.51 | shop: Shöp \"x\", amenity: Bar" in text["00.jpg"] and "env-model: what is 01.jpg http:" in text["01.jpg"]
+    assert [r["error"] for r in tables.read("describe_errors", ERRORS).collect()] == ["Refused: 400 VipsJpeg: broken"]
+    assert tables.read("describe_input").count() == tables.read("describe_output").count() == 24
+    assert len(server.images) == 2 and not (tmp_path / "s/journal/describe").exists()
+    assert cli.main(["enhance", "--backend", "http", "--url", server.url, "--status-interval", "0", *store], spark) == "enhance: 1R23D"
