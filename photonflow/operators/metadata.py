@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ HEAD = 1 << 20
 
 def _read(path: str) -> dict | None:
     try:
-        with open(path, "rb") as f:
+        fs, at = pyarrow.fs.FileSystem.from_uri(path)
+        with fs.open_input_file(at) as f:
             return read_exif(f.read(HEAD))
     except OSError:
         return None

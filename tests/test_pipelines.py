@@ -14,10 +14,11 @@ from photonflow.media.jpeg import SIGNATURE
 from photonflow.operators import context, infer, lookup, sink
 from photonflow.operators.walk import walk_candidates
 from photonflow.plans.pipelines import Services, get_pipeline, list_pipelines, run_pipeline
-from photonflow.schema import ERRORS, HEADS, OUTPUT
+from photonflow.schema import ERRORS, HEADS, IMAGES, OUTPUT
 from photonflow.services.geocoder import FakeGeocoder, TransientError, with_retries
 from photonflow.services.model import FakeModel
-from photonflow.sources.image_tree import images_and_errors, read_tree
+from photonflow.sources.image_tree import Folder, Pack, TreeReader, images_and_errors, read_tree
+from photonflow.streaming.incremental import follow_tree
 from tests.test_media import jpeg, sample, tiff  # noqa: F401
 
 
@@ -54,6 +55,53 @@ def test_scan_does_not_depend_on_the_split(spark, tree, deep):
     assert len(rels(rows)) == 7
 
 
+def test_scan_of_wide_and_flat_trees(spark, tmp_path):
+    root = tmp_path / "wide"
+    for i in range(300):
+        (root / f"d{i:03d}").mkdir(parents=True)
+        (root / f"d{i:03d}" / "x.jpg").write_bytes(b"x")
+    for i in range(500):
+        (root / f"{i:03d}.jpg").write_bytes(b"y")
+    options = {"path": str(root), "partitions": "20", "flat": "100"}
+    parts = TreeReader(options).partitions()
+    folders = [f for p in parts for f in p.folders]
+    assert len(parts) == 20 and [f.shares for f in folders if not f.rel] == [8] * 8 and len(folders) == 308
+    assert max(len(p.folders) for p in parts) - min(len(p.folders) for p in parts) <= 1
+    batches = list(TreeReader({"path": str(root)}).read(Pack((Folder("", False),))))
+    assert sum(b.num_rows for b in batches) == 500
+    rows = spark.read.format("image_tree").options(**options).load()
+    assert len(rels(rows)) == len(set(rels(rows))) == 800
+    assert rels(spark.read.format("image_tree").option("path", f"file://{root}").load()) == rels(rows)
+
+
+def test_scan_through_a_scheme(spark, tree):
+    plain, remote = (read_tree(spark, r, (".jpg", ".png")) for r in (str(tree), f"file://{tree}"))
+    columns = ["rel_path", "name", "base", "ext", "size", "error"]
+    assert sorted(map(tuple, plain.select(columns).collect())) == sorted(map(tuple, remote.select(columns).collect()))
+    odd = remote.where("name like '%#%'").first()
+    assert odd["path"].endswith("/%C3%A9%201%2520%23.png")
+    asked = infer.ask_model(remote.select("rel_path", "path", F.lit("p").alias("prompt")), FakeModel, "m", 2, image="path")
+    assert asked.where("error is not null").count() == 0
+    assert read_tree(spark, f"file://{tree}/n.txt").first()["error"] == "not a directory"
+
+
+def test_stream_of_a_tree(spark, tree, tmp_path):
+    store, cp = f"file://{tmp_path}/store", f"{tmp_path}/cp"
+    c = load_config(input_dir=str(tree), output_dir=str(tmp_path / "out"), model="m")
+    follow = lambda: follow_tree(spark, "describe", c, store, cp, settle=0.0)
+    tables = sink.Store(spark, store)
+    assert follow() == "describe: 5D" and follow() == "describe: 0D"
+    first = held(tables, "describe")
+    (tree / "new.jpg").write_bytes(b"n")
+    (tree / "geo/g.jpg").write_bytes(sample() + b"more")
+    assert follow() == "describe: 2D" and follow() == "describe: 0D"  # the new and the changed one, once each
+    second = held(tables, "describe")
+    assert set(second) - set(first) == {"new.jpg"} and [k for k in first if first[k] != second[k]] == ["geo/g.jpg"]
+    assert tables.read("listing", IMAGES).count() == 6
+    tables.drop("describe", spark.createDataFrame([("new.jpg",)], "rel_path string"), OUTPUT)
+    assert follow() == "describe: 1D"  # an output that was deleted
+
+
 def test_skip_matrix(spark):
     for retry, retry_failed, compat in product((False, True), repeat=3):
         items = spark.createDataFrame([("n",), ("o",), ("e",), ("b",)], "rel_path string")
