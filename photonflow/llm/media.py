@@ -10,6 +10,7 @@ own. Payloads stream as Arrow batches of bounded size.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import time
 import uuid
@@ -30,6 +31,8 @@ from photonflow.llm.common import cut, new_path
 WIDTH = 64
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
+#: Ranges that the driver plans at most, besides one for each archive; they grow with the archives.
+MAX_RANGES = 100_000
 BATCH_BYTES = 4 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -70,6 +73,8 @@ def from_image(image: bytes) -> tuple[bytes, int]:
             packed.append(data)
         at += 12 + n
     lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, WIDTH + 1)
+    if length is None or not height:
+        raise ValueError("not one of these images")
     return lines[:, 1:].tobytes(), length
 
 
@@ -163,7 +168,8 @@ class ArchiveReader(DataSourceReader):
         """Byte ranges from names and sizes alone; archive directories are read by the tasks."""
         fs, path = open_fs(self.manifest)
         found = pyarrow.dataset.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=False).to_table(["archive", "bytes"]).to_pylist()
-        return [ByteRange(x["archive"], at, at + self.range_bytes) for x in found for at in range(0, x["bytes"], self.range_bytes)] or [ByteRange("", 0, 0)]
+        size = max(self.range_bytes, -(-sum(x["bytes"] for x in found) // MAX_RANGES))
+        return [ByteRange(x["archive"], at, at + size) for x in found for at in range(0, x["bytes"], size)] or [ByteRange("", 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if not part.archive:
@@ -219,12 +225,15 @@ def describe(stored: DataFrame) -> DataFrame:
             out = []
             for member, image, error in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 key = member.split("/")[0]
-                key = None if key == "null" else int(key)
+                key = int(key) if re.fullmatch(r"-?\d{1,18}", key) else None
                 image = image.as_py()
+                try:
+                    payload, n = (None, None) if image is None else from_image(image)
+                except Exception as e:  # whatever a member holds that is no image of ours is its error
+                    image, error = None, f"{type(e).__name__}: {e}"
                 if image is None:
                     out.append((key, *[None] * 7, error))
                     continue
-                payload, n = from_image(image)
                 out.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload), None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], NAMES)

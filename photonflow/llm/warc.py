@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +24,9 @@ from photonflow.llm.media import open_fs
 
 MAGIC = b"WARC/1."
 END = b"\r\n\r\n"
+#: The first line of a header, and the beginning of each other one.
+VERSION, VERSION_BYTES = re.compile(rb"WARC/1\.\d\r\n"), 10
+FIELD, NAME_BYTES = re.compile(rb"([!#-'*+.0-9A-Z^-z|~-]+)[ \t]*:"), 256
 HEADER_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
@@ -94,30 +99,61 @@ class Reader:
     def __init__(self, file: str, size: int) -> None:
         fs, path = open_fs(file)
         self.f, self.size, self.at, self.data = fs.open_input_file(path), size, 0, b""
+        self.run: tuple[int, int, bool, list[tuple[int, bytes]]] = (0, -1, False, [])
 
     def read(self, at: int, n: int) -> bytes:
         if not (self.at <= at and at + n <= self.at + len(self.data)):
             self.at, self.data = at, self.f.read_at(min(max(n, READ_BYTES), self.size - at), at) if at < self.size else b""
         return self.data[at - self.at : at - self.at + n]
 
-    def head(self, at: int) -> tuple[dict[str, str], int, int] | None:
-        """(fields, block offset, successor) of a header at ``at``; None where it cannot be one."""
-        n = HEADER_BYTES
-        raw = self.read(at, n)
-        if not raw.startswith(MAGIC):
+    def find(self, what: bytes, at: int) -> int:
+        """Where ``what`` stands from ``at`` on, or -1; holds a window at a time."""
+        while at < self.size:
+            window = self.read(at, min(READ_BYTES, self.size - at))
+            if (hit := window.find(what)) >= 0:
+                return at + hit
+            at += max(1, len(window) - len(what) + 1)
+        return -1
+
+    def fields(self, at: int) -> tuple[int, bool, list[tuple[int, bytes]]]:
+        """(where the header lines from ``at`` end, whether an empty line ends them, places and values of their lengths).
+
+        The first line that is no ``name: value`` ends them (names have up to ``NAME_BYTES``). Places within the lines that were read last share
+        their end, so the bytes of a file are looked at once, whatever stands in payloads.
+        """
+        start, stop, whole, lengths = self.run
+        if not start <= at <= stop:
+            start, lengths = at, []
+            while True:
+                first = self.read(at, min(NAME_BYTES, max(0, self.size - at)))
+                name = FIELD.match(first)
+                if first.startswith(b"\r\n") or not (name or (at > start and first[:1] in (b" ", b"\t"))) or (end := self.find(b"\r\n", at)) < 0:
+                    break
+                if name and name[1].lower() == b"content-length":
+                    lengths.append((at, self.read(at + name.end(), min(end - at - name.end(), NAME_BYTES)).strip()))
+                at = end + 2
+            self.run = start, at, first.startswith(b"\r\n"), lengths
+        return self.run[1:]
+
+    def span(self, at: int) -> tuple[int, int] | None:
+        """(block offset, successor) of a record whose header is at ``at``; None where there cannot be one."""
+        line = self.read(at, min(VERSION_BYTES, self.size - at))
+        if not VERSION.fullmatch(line) or self.read(at + len(line), 1) in (b" ", b"\t"):
             return None
-        while (stop := raw.find(END)) < 0 and at + n < self.size:  # a long url makes a long header
-            n *= 2
-            raw = self.read(at, n)
-        if stop < 0:
+        stop, whole, lengths = self.fields(at + len(line))
+        k = bisect_left(lengths, (at, b""))
+        if not whole or k == len(lengths) or not lengths[-1][1].isdigit():
             return None
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw[:stop].decode("utf-8", "replace").split("\r\n")[1:])}
-        length = fields.get("content-length", "")
-        if not (length.isascii() and length.isdigit()):
+        block = stop + 2
+        after = block + int(lengths[-1][1]) + len(END)
+        return (block, after) if after <= self.size and self.read(after - len(END), len(END)) == END else None
+
+    def head(self, at: int) -> tuple[dict[str, str], int, int] | None:
+        """(fields, block offset, successor) of a header at ``at``; None where it cannot be one."""
+        if (found := self.span(at)) is None:
             return None
-        block = at + stop + len(END)
-        after = block + int(length) + len(END)
-        return (fields, block, after) if after <= self.size and self.read(after - len(END), len(END)) == END else None
+        raw = self.read(at, found[0] - len(END) - at).decode("utf-8", "replace")
+        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw.split("\r\n")[1:])}, *found
 
 
 def candidates(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -133,8 +169,8 @@ def candidates(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     window = reader.read(low, min(high + len(MAGIC) - 1, size) - low)
                     hit = window.find(MAGIC)
                     while 0 <= hit < high - low:
-                        if got := source.head(low + hit):
-                            found.append((low + hit, got[2]))
+                        if got := source.span(low + hit):
+                            found.append((low + hit, got[1]))
                         hit = window.find(MAGIC, hit + 1)
                 yield pa.RecordBatch.from_pydict({"file": pa.array([file] * len(found), pa.string()), "size": pa.array([size] * len(found), pa.int64()), "at": pa.array([a for a, _ in found], pa.int64()), "next": pa.array([b for _, b in found], pa.int64())})
 

@@ -3,8 +3,12 @@
 import base64
 import glob
 import hashlib
+import math
 import os
 import random
+import re
+import struct
+import time
 import zlib
 
 import duckdb
@@ -387,3 +391,99 @@ def test_mixing_edges(spark):
     kept = mixing.stage(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
     assert mixing.op10(empty_docs(spark)).count() == 0 and mixing.stage(empty_docs(spark)).count() == 0
+
+
+def read_all(path):
+    """Candidates of a file by the reader's grammar, at every place where the magic stands."""
+    reader = warc.Reader(str(path), path.stat().st_size)
+    data = path.read_bytes()
+    return [(at, reader.span(at)) for at in (m.start() for m in re.finditer(rb"WARC/1\.", data)) if reader.span(at)]
+
+
+@pytest.mark.parametrize("fill", [b"WARC/1.", b"WARC/1.1\r\n", b"a: WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n", b"WARC/1.1\r\nContent-Length: 3\r\n", b"a: b\r\n", b"x"])
+def test_payloads_of_magic_are_read_in_linear_time(spark, tmp_path, fill):
+    html = (fill * (1_000_000 // len(fill) + 1)).decode()
+    path = tmp_path / "one"
+    block = html.encode()
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(block)
+    path.write_bytes(head + block + warc.END)
+    began = time.monotonic()
+    found = dict(read_all(path))
+    assert found[0] == (len(head), path.stat().st_size) and time.monotonic() - began < 20
+    if fill == b"WARC/1.":
+        pages = spark.createDataFrame([(1, "u", html), (2, "u", html + " "), (3, "u", html)], "page_id long, url string, html string")
+        assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in warc.op5(pages).collect()) == [(1, len(block), "response"), (2, len(block) + 1, "response"), (3, len(block), "revisit")]
+
+
+def test_header_grammar(tmp_path):
+    path = tmp_path / "f"
+    record = lambda lines, block=b"body": b"WARC/1.0\r\n" + b"".join(x + b"\r\n" for x in lines) + b"\r\n" + block + warc.END
+    length = b"Content-Length: 4"
+    good = [[length], [b"X-Long: " + b"v" * 3_000_000, length], [b"content-LENGTH:4"], [b"A: b", b" folded", length], [b"Content-Length: 9", length], [b"A: " + b"WARC/1.1", length]]
+    bad = [[b"no colon", length], [b"A: b"], [b"Content-Length: x"], [b"Content-Length: -4"], [b" folded", length], [b"sp ace: x", length], [b"Content-Length: 5"]]
+    for lines, fine in [(x, True) for x in good] + [(x, False) for x in bad]:
+        path.write_bytes(record(lines))
+        assert bool(warc.Reader(str(path), path.stat().st_size).head(0)) is fine, lines
+    path.write_bytes(b"WARC/1.1\r\nA: " + b"x" * 5_000_000)  # a file without an empty line
+    reader = warc.Reader(str(path), path.stat().st_size)
+    assert reader.head(0) is None and len(reader.data) <= warc.READ_BYTES
+
+
+def other_decoder(image):
+    """An 8-bit grey image without interlace, by the format's text alone: (width, height, samples)."""
+    assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(image):
+        size = int.from_bytes(image[at : at + 4])
+        chunks.append((image[at + 4 : at + 8], image[at + 8 : at + 8 + size]))
+        assert int.from_bytes(image[at + 8 + size : at + 12 + size]) == zlib.crc32(image[at + 4 : at + 8 + size])
+        at += 12 + size
+    head, data = dict(chunks)[b"IHDR"], zlib.decompress(b"".join(d for k, d in chunks if k == b"IDAT"))
+    width, height, depth, colour, *rest = struct.unpack(">IIBBBBB", head)
+    assert (depth, colour, rest) == (8, 0, [0, 0, 0]) and chunks[0][0] == b"IHDR" and chunks[-1] == (b"IEND", b"") and len(data) == height * (width + 1)
+    out, above = b"", bytes(width)
+    for y in range(height):
+        kind, line = data[y * (width + 1)], bytearray(data[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        assert kind in (0, 2)
+        if kind == 2:
+            line = bytearray((a + b) % 256 for a, b in zip(line, above))
+        above = bytes(line)
+        out += above
+    return width, height, out
+
+
+def slow_feature(samples):
+    n = len(samples)
+    counts = [samples.count(v) for v in range(256)]
+    mean = sum(v * c for v, c in enumerate(counts)) / n
+    dev = math.sqrt(max(0.0, sum(c * (v - mean) ** 2 for v, c in enumerate(counts)) / n))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts if c)
+    return mean, dev, entropy
+
+
+@pytest.mark.parametrize("data", [b"", b"a", bytes(64), bytes(range(256)) * 5 + b"tail", "ünï 漢字".encode() * 99])
+def test_images_by_another_decoder(data):
+    width, height, samples = other_decoder(media.to_image(data))
+    padded = data + bytes(64 - len(data) % 64 if len(data) % 64 or not data else 0)
+    assert (width, height, samples) == (64, len(padded) // 64, padded)
+    got = media.feature(samples).split()
+    assert [float(x) for x in got[:3]] == pytest.approx(slow_feature(samples), abs=1e-4) and len(got[3]) == 16
+
+
+def test_members_that_are_no_images_of_ours(spark):
+    image = media.to_image(b"text")
+    no_length = image[:33] + image[33 + 20 :]  # without the private chunk
+    bad = [b"", b"GIF89a", image[:-13] + b"x" * 13, image[:40], no_length, media.SIGNATURE, media.SIGNATURE + b"\0" * 20]
+    rows = [(f"{i}/{i}.png", b, None) for i, b in enumerate(bad)] + [("7/7.png", image, None), ("null/8.png", image, None), ("other name", image, None), ("9/9.png", None, "OSError: gone")]
+    got = media.describe(spark.createDataFrame(rows, "member string, payload binary, error string")).collect()
+    assert [(r["doc_id"], r["n_bytes"], r["error"] is None) for r in got] == [(i, None, False) for i in range(7)] + [(7, 4, True), (None, 4, True), (None, 4, True), (9, None, False)]
+
+
+def test_ranges_grow_with_the_archives(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(media, "MAX_RANGES", 10)
+    pq.write_table(pa.table({"archive": ["a", "b"], "bytes": [64 << 20, 64 << 20]}), tmp_path / "m.parquet")
+    parts = media.ArchiveReader({"manifest": str(tmp_path / "m.parquet"), "rangeBytes": "1024"}).partitions()
+    assert len(parts) <= 12 and {(p.archive, p.start) for p in parts} >= {("a", 0), ("b", 0)} and max(p.stop for p in parts) >= 64 << 20
