@@ -107,12 +107,15 @@ class Reader:
         return self.data[at - self.at : at - self.at + n]
 
     def find(self, what: bytes, at: int) -> int:
-        """Where ``what`` stands from ``at`` on, or -1; holds a window at a time."""
+        """Where ``what`` stands from ``at`` on, or -1; looks where the window is, a window at a time."""
         while at < self.size:
-            window = self.read(at, min(READ_BYTES, self.size - at))
-            if (hit := window.find(what)) >= 0:
-                return at + hit
-            at += max(1, len(window) - len(what) + 1)
+            if not self.at <= at < self.at + len(self.data):
+                self.read(at, 1)
+            if (hit := self.data.find(what, at - self.at)) >= 0:
+                return self.at + hit
+            at = max(at + 1, self.at + len(self.data) - len(what) + 1)
+            if at < self.at + len(self.data):  # the window's last bytes may begin it
+                self.at, self.data = self.size, b""
         return -1
 
     def fields(self, at: int) -> tuple[int, bool, list[tuple[int, bytes]]]:
