@@ -140,6 +140,6 @@ def op10(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The drawn rows of ``docs``, columns unchanged."""
+    """The drawn rows of ``docs``, columns unchanged. Rows that repeat id and text are drawn together; null sources, languages and texts are categories; an empty table gives no rows."""
     rows = described(docs)
     return unpacked(draw(rows, plan(rows)).where("_kept"), docs.columns)

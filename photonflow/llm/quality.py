@@ -203,6 +203,7 @@ def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score of one half or more, columns unchanged.
 
+    Null and empty texts are scored as any other, null ids have no part in the score, repeated rows share theirs; an empty table gives no rows.
     The random term is zero; a projection with one keeps the optimizer from moving the test below the projection of
     the statistics, where every use of one would compute it anew.
     """
