@@ -259,6 +259,37 @@ def test_lines_recall_against_edit_distance(spark):
     assert not any(got[i] for i, _ in out[::2])
 
 
+def test_lines_recall_by_length_and_share_of_changed_words(spark):
+    """At least nine in ten pairs with 5, 10 or 15 % of their words replaced end in one group, from 6 words to 600."""
+    rng, rows, plan = random.Random(77), [], []
+    common = "the of and to in is that for it was on are as with his they at be this from have or by one had".split()
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10)))
+    for share in (5, 10, 15):
+        for size in (6, 24, 60, 120, 200, 250, 300, 600):
+            for _ in range(25):
+                one = [word() for _ in range(size)]
+                two = list(one)
+                for i in rng.sample(range(size), max(1, round(size * share / 100))):
+                    two[i] = word()
+                a, b = " ".join(one), " ".join(two)
+                if a != b and (size > 60 or distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)):
+                    plan.append((share, min(size, 250) if size < 300 else 300))
+                    rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = lines.cut(lines.occurrences(docs), "lines")
+    group = {r["id"]: r["component"] for r in lines.fuzzy_groups(docs, found, lines.distinct_lines(found)).collect()}
+    name = {r["d"]: r["h"] for r in found.select("d", "h").collect()}
+    got = {}
+    for i, kind in enumerate(plan):
+        a, b = name[2 * i], name[2 * i + 1]
+        got.setdefault(kind, []).append(group.get(a, a) == group.get(b, b))
+    assert sum(map(sum, got.values())) >= 0.95 * len(plan)
+    for share in (5, 10, 15):
+        pairs = [x for (s, _), v in got.items() if s == share for x in v]
+        assert sum(pairs) >= 0.9 * len(pairs), (share, sum(pairs), len(pairs))
+    assert not (low := {k: (sum(v), len(v)) for k, v in got.items() if sum(v) < 0.8 * len(v)}), low
+
+
 def test_lines_run_no_python(spark):
     plan = lines.dedup_lines(spark.createDataFrame(line_rows(), "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
