@@ -14,6 +14,7 @@ import zlib
 import duckdb
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from photonflow.llm import bpe, chat, media, merkle, mixing, ordered, rollup, warc
@@ -382,6 +383,61 @@ def test_op10(spark):
     assert dict(zip(again.doc_id, again.kept)) == dict(zip(rows.doc_id, rows.kept))
 
 
+def test_op10_against_plain_code(spark):
+    """Topics, tokens, cells, targets, raking, probabilities and draws, all computed anew from the texts."""
+    rng, rows = random.Random(31), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 3, 5, 8, 9, 11])))
+    for i in range(900):
+        text = " ".join(word() for _ in range(rng.randrange(1, 14)))
+        rows.append((i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(["x", "x", "y"]), rng.choice([text, text, text.replace(" ", "\n\t"), text + " É\u00a0é"])))
+    rows += [(900, "a", "x", ""), (901, "b", "y", None), (902, None, "y", " \n"), (None, "c", "x", "nothing here that is certain")]
+    mask = (1 << 64) - 1
+
+    def drawn_at(i, text):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), 42)
+        h = h if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), h)
+        h = h if text is None else xxhash.xxh64_intdigest(text.encode(), h)
+        return (h & mask) / 2**64
+
+    def topic_of(text):
+        signed = [(h - 2**64 if h >> 63 else h) for h in (xxhash.xxh64_intdigest(w.encode(), 42) for w in regex.findall(r"\p{L}{8,}", (text or "").lower()))]
+        return str(min(signed) % mixing.TOPICS) if signed else "-1"
+
+    count = lambda text: len(re.findall(r"\S+", text or "", re.ASCII))
+    cell_of = lambda r: (r[1], r[2], topic_of(r[3]))
+    w = {}
+    for r in rows:
+        w[cell_of(r)] = w.get(cell_of(r), 0) + count(r[3])
+    w = {k: v for k, v in w.items() if v}
+    total, targets = sum(w.values()), []
+    for d, power in enumerate((0.5, 0.7, 0.0)):
+        sums = {}
+        for k, v in w.items():
+            sums[k[d]] = sums.get(k[d], 0) + v
+        z = sum(v**power for v in sums.values())
+        targets.append({k: v**power / z * total for k, v in sums.items()})
+    fitted = dict(w)
+    for _ in range(2000):
+        for d in range(3):
+            sums = {}
+            for k, v in fitted.items():
+                sums[k[d]] = sums.get(k[d], 0) + v
+            fitted = {k: v * targets[d][k[d]] / sums[k[d]] for k, v in fitted.items()}
+    low, high = 0.0, 1e6  # the constant by bisection: expected tokens are half of all
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(v * min(1, c * fitted[k] / v) for k, v in w.items()) < total / 2 else (low, c)
+    got = {r["doc_id"]: r for r in mixing.op10(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        g, p = got[r[0]], min(1.0, low * fitted[cell_of(r)] / w[cell_of(r)]) if count(r[3]) else 1.0
+        assert (g["source"], g["lang"], g["topic"], g["n_tokens"]) == (r[1], r[2], topic_of(r[3]), count(r[3]))
+        assert g["probability"] == pytest.approx(p, rel=1e-3)
+        u = drawn_at(r[0], r[3])
+        assert abs(u - p) < 2e-3 or g["kept"] == (u < p), r
+    assert {g["kept"] for g in got.values()} == {True, False}
+
+
 def test_mixing_edges(spark):
     docs = edge_docs(spark)
     rows = mixing.op10(docs).collect()
