@@ -101,7 +101,7 @@ def near_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``prints(fp)`` -> ``(fp, component)`` for fingerprints that have a link; component: the smallest fp reached."""
     distinct = cut(prints.select("fp").where("fp is not null").distinct(), "fingerprints")
     keys = block_keys(F.col("fp"), plan_blocks(distinct.count(), distance), distance)
-    rows = distinct.select(F.explode(keys).alias("k"), F.col("fp").alias("id"), "fp")
+    rows = distinct.select(F.explode(keys).alias("k"), F.col("fp").alias("id"))
     return block_components(rows, within(distance)).withColumnRenamed("id", "fp")
 
 
@@ -198,15 +198,15 @@ def similar_groups(features: DataFrame, texts: DataFrame, at_least: float = SIMI
     """
     nodes = cut(features.groupBy("th").agg(F.any_value("mins").alias("mins"), F.max(F.size("sketch")).alias("n")), "nodes")
     keys = F.array(*(F.xxhash64(F.lit(j), *(F.get("mins", F.lit(i)) for i in c)) for j, c in enumerate(CHOICES)))
-    rows = nodes.where("n > 0").select(F.explode(keys).alias("k"), F.col("th").alias("id"), F.lit(0).alias("fp"))
-    blank = nodes.where("n = 0").select(F.lit(0).cast("long").alias("k"), F.col("th").alias("id"), F.lit(0).alias("fp"))
+    rows = nodes.where("n > 0").select(F.explode(keys).alias("k"), F.col("th").alias("id"))
+    blank = nodes.where("n = 0").select(F.lit(0).cast("long").alias("k"), F.col("th").alias("id"))
 
     def both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
         for end in "ab":
             pairs = pairs.join(of.select(F.col("th").alias(end), F.col(column).alias(f"s{end}")), end)
         return pairs
 
-    def prepare(ids: DataFrame) -> tuple[Judge, Settle]:
+    def prepare(ids: DataFrame) -> tuple[Judge, Settle, None]:
         wanted = features.select("th", "sketch").join(ids.withColumnRenamed("id", "th"), "th", "left_semi")
         sketches = cut(wanted.dropDuplicates(["th"]), "sketches")  # most texts share no block: their sketches are never shuffled
 
@@ -220,7 +220,7 @@ def similar_groups(features: DataFrame, texts: DataFrame, at_least: float = SIMI
             whole = cut(whole_shingles(texts.join(ends, "th", "left_semi")).dropDuplicates(["th"]), "whole-shingles")
             return both(pairs, whole, "all").where(shingle_similarity("sa", "sb") >= at_least).select(*pairs.columns)
 
-        return judge, settle
+        return judge, settle, None
 
     return block_components(rows.unionAll(blank), lambda a, b: F.lit(True), prepare, by_block=True)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -364,6 +365,36 @@ def test_lines_recall_on_a_table(spark):
     assert got >= 0.9 * len(pairs), (got, len(pairs))
 
 
+@pytest.mark.parametrize("most", [64, common.BROADCAST_ROWS])
+def test_repeated_blocks(spark, monkeypatch, most):
+    """Rows of blocks with two members or more, also where the bits are few for the keys."""
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+    rng = random.Random(8)
+    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)] + [0, -1, 1 << 62]
+    rows = [(k, i) for i, k in enumerate(keys)] + [(k, 10_000 + i) for i, k in enumerate(keys) if rng.random() < 0.3 or k in (0, -1)]
+    number = Counter(k for k, _ in rows)
+    got = graph.repeated_blocks(spark.createDataFrame(rows, "k long, id long"))
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if number[r[0]] > 1)
+
+
+def test_letters_rule_out_unlike_lines_only(spark):
+    """A block of short unlike lines gives few pairs to judge; no pair within its edit distance is ruled out."""
+    rng = random.Random(14)
+    syllables = "ing the er an on th re he in ed ver ein \u00fc \u6f22 7".split()
+    some = ["".join(rng.choice(syllables) + rng.choice(["", " "]) for _ in range(rng.randrange(8, 24))).strip() for _ in range(150)]
+    for t in some[:60]:
+        t = list(t)
+        for _ in range(rng.randrange(1, 8)):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "e", "\u6f22"])
+        some.append("".join(t))
+    rows = [(i, t) for i, t in enumerate(some)] + [(1000, "a b " * 80), (1001, "a b " * 78)]
+    marks = spark.createDataFrame(rows, "i int, t string").select("i", F.struct(F.length("t").alias("n"), lines.letters(F.col("t")).alias("bag")).alias("m"))
+    pairs = marks.alias("a").join(marks.alias("b"), F.expr("a.i < b.i")).where(lines.may_be_similar(F.col("a.m"), F.col("b.m"))).select("a.i", "b.i")
+    got, text = {tuple(r) for r in pairs.collect()}, dict(rows)
+    near = {(a, b) for a in text for b in text if a < b and max(map(len, (text[a], text[b]))) <= 400 and distance(text[a], text[b]) <= int(0.2 * max(len(text[a]), len(text[b])) + 1e-9)}
+    assert len(near) > 30 and near <= got and len(got) < 0.25 * len(rows) ** 2 / 2
+
+
 def test_schema_has_clashing_names():
     assert {"row", "th", "id", "gone", "_score", "component"} <= {x.split()[0] for x in SCHEMA.split(", ")}
 
