@@ -153,16 +153,17 @@ def min_hashes(hashes: np.ndarray) -> list[int]:
 
 
 def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(th, mins, sketch)`` of each row; ``th`` is a 64-bit hash of the text, ``sketch`` its smallest shingle hashes."""
+    """``(th, fp, mins, sketch)`` of each row; ``th`` is a 64-bit hash of the text, ``fp`` its SimHash, ``sketch`` its smallest shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([min_hashes(h) for h in hashes], pa.list_(pa.int64())), pa.array([h[:SKETCH].view(np.int64) for h in hashes], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["th", "mins", "sketch"])
+            texts = batch.column(1).to_pylist()
+            hashes, fps = [shingle_hashes(t) for t in texts], np.array([fingerprint(t) for t in texts], np.uint64)
+            columns = [pa.array(fps.view(np.int64)), pa.array([min_hashes(h) for h in hashes], pa.list_(pa.int64())), pa.array([h[:SKETCH].view(np.int64) for h in hashes], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["th", "fp", "mins", "sketch"])
 
     narrow = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "th long, mins array<long>, sketch array<long>")
+    return narrow.mapInArrow(run, "th long, fp long, mins array<long>, sketch array<long>")
 
 
 def whole_shingles(texts: DataFrame) -> DataFrame:
@@ -192,12 +193,14 @@ def shingle_similarity(a: str, b: str, size: int | None = None) -> Column:
 
 
 def similar_groups(features: DataFrame, texts: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """``(id, component)`` of text hashes that are linked: MinHashes in common, and ``at_least`` of all shingles.
+    """``(id, component)`` of text hashes that are linked: SimHashes near each other or MinHashes in common, and ``at_least`` of all shingles.
 
-    ``texts(th, text)`` has the text of each; only those of likely pairs are read, and compared as a whole.
+    The SimHashes meet by the pigeonhole blocks of ``near_groups``, so that none within ``DISTANCE`` bits is lost; MinHashes add pairs that
+    are farther apart, and all are held to the same exact check. ``texts(th, text)`` has the text of each; only those of likely pairs are read, and compared as a whole.
     """
-    nodes = cut(features.groupBy("th").agg(F.any_value("mins").alias("mins"), F.max(F.size("sketch")).alias("n")), "nodes")
+    nodes = cut(features.groupBy("th").agg(F.any_value("fp").alias("fp"), F.any_value("mins").alias("mins"), F.max(F.size("sketch")).alias("n")), "nodes")
     keys = F.array(*(F.xxhash64(F.lit(j), *(F.get("mins", F.lit(i)) for i in c)) for j, c in enumerate(CHOICES)))
+    keys = F.concat(block_keys(F.col("fp"), plan_blocks(nodes.count())), keys.cast("array<bigint>"))
     rows = nodes.where("n > 0").select(F.explode(keys).alias("k"), F.col("th").alias("id"))
     blank = nodes.where("n = 0").select(F.lit(0).cast("long").alias("k"), F.col("th").alias("id"))
 
@@ -229,7 +232,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of ``docs`` for each group of copies and near copies, that with the smallest id; columns unchanged.
 
     Exact copies are one node; near copies share ``SIMILARITY`` of their five-word shingles, counted over the whole
-    texts, and are found by MinHashes of these. Null text is its own text; null ids come last; repeated rows stay as
+    texts, and are found by SimHashes within ``DISTANCE`` bits, as in ``near_duplicates``, and by MinHashes of the shingles. Null text is its own text; null ids come last; repeated rows stay as
     one; an empty table gives no rows.
     """
     path = new_path(docs.sparkSession, "kept")

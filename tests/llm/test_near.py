@@ -154,6 +154,19 @@ def test_near_copies_of_long_texts_are_compared_as_a_whole(spark):
     assert not [x for i, x in want.items() if x < 0.8 and i + 1 not in got]  # none is linked that is not near
 
 
+def test_near_copies_are_found_by_simhash(spark, monkeypatch):
+    """Near copies with fingerprints within three bits need no MinHash."""
+    monkeypatch.setattr(simhash, "CHOICES", [])
+    rng, rows, near = random.Random(31), [], set()
+    for i in range(60):
+        t = " ".join(f"w{rng.getrandbits(40)}" for _ in range(400))
+        rows += [(2 * i, t), (2 * i + 1, edited(rng, t, 2))]
+        if (simhash.fingerprint(t) ^ simhash.fingerprint(rows[-1][1])).bit_count() <= simhash.DISTANCE:
+            near.add(2 * i + 1)
+    got = {r["doc_id"] for r in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 10 and not got & near and got >= {2 * i for i in range(60)}
+
+
 def test_near_copies_are_found(spark):
     """Recall on near copies alone, no exact ones among them."""
     rows, want = near_pairs([60, 90, 150, 300, 600] * 40)
