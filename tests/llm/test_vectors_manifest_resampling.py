@@ -62,6 +62,16 @@ def test_links_of_odd_vectors(spark):
     assert {tuple(r) for r in covertree.linked(vectors(spark, rows[5:12])).collect()} == set(slow_links(rows[5:12]))
 
 
+def test_plans_and_rounds_of_a_tree_are_bounded(spark, monkeypatch):
+    """A cluster among many outliers is not peeled a few points at a time, and what a tree returns holds no join of any level."""
+    rng, rounds, cut = np.random.default_rng(9), [], covertree.cut
+    monkeypatch.setattr(covertree, "cut", lambda df, name, path=None: rounds.append(name) or cut(df, name, path))
+    rows = [(i, (np.array([1.0] + [0.0] * 15) + rng.normal(size=16) * (0.08 if i < 200 else 1)).tolist(), 0) for i in range(260)]
+    nodes, points = covertree.tree(covertree.classes(covertree.identified(vectors(spark, rows).select("vec_id", "embedding", "label"))), 0.2, leaf=20)
+    assert rounds.count("nets") <= 6 and points.count() == 260
+    assert not re.search("Join|Exchange", points._jdf.queryExecution().executedPlan().toString())
+
+
 def test_links_of_a_dense_group_are_counted_as_a_whole(spark):
     rng = np.random.default_rng(5)
     rows = [(i, (np.array([1.0] + [0.0] * 7) + rng.normal(size=8) * 0.01).tolist(), 0) for i in range(120)] + [(200 + i, (np.array([0.0] * 7 + [1.0]) + rng.normal(size=8) * 0.06).tolist(), 0) for i in range(80)] + [(400 + i, [3.0] * 8, 0) for i in range(60)]
