@@ -408,6 +408,40 @@ def test_letters_rule_out_unlike_lines_only(spark):
     assert len(near) > 30 and near <= got and len(got) < 0.25 * len(rows) ** 2 / 2
 
 
+def test_pairs_of_characters_rule_out_unlike_lines_only(spark):
+    rng, letters = random.Random(5), "theandorinblesh "
+    lines_ = ["".join(rng.choice(letters) for _ in range(rng.choice([9, 40, 80, 230, 300]))) for _ in range(30)]
+    for x in lines_[:20]:
+        cut_up = list(x)
+        for i in rng.sample(range(len(x)), int(0.2 * len(x) * 0.8)):  # as many edits as similar lines may have, nearly
+            cut_up[i] = rng.choice(["", "\U0001f600", "x", "ab"[: rng.randint(1, 2)]])
+        lines_.append("".join(cut_up))
+    texts = spark.createDataFrame(list(enumerate(lines_)), "i int, norm string").withColumn("n", F.length("norm"))
+    texts = lines.marks(texts).localCheckpoint()
+    a, b = (texts.select(F.col("i").alias(f"i{e}"), F.col("norm").alias(f"t{e}"), F.col("mark").alias(f"m{e}")) for e in "ab")
+    near = F.levenshtein("ta", "tb") <= F.floor(F.lit(1 - lines.SIMILARITY + 1e-12) * F.greatest(F.length("ta"), F.length("tb")) + 1e-9)
+    told = a.join(b, F.col("ia") < F.col("ib")).select(near.alias("near"), lines.may_be_similar(F.col("ma"), F.col("mb")).alias("by_letters"), lines.may_share_pairs(F.col("ma"), F.col("mb")).alias("may"), (F.greatest(F.length("ta"), F.length("tb")) <= lines.COUNTED).alias("short")).collect()
+    assert sum(r["near"] for r in told) >= 15 and all(r["may"] for r in told if r["near"])
+    unlike = [r for r in told if not r["near"] and r["by_letters"] and r["short"]]
+    assert sum(r["may"] for r in unlike) < 0.6 * len(unlike)  # letters alone let these pass
+
+
+def test_rounds_end_when_unlike_pairs_are_left(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_PAIRS", 5)
+    pairs = spark.createDataFrame([(i, j, i, j) for i in range(30) for j in range(100, 110)], "a long, b long, ca long, cb long")
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name, path=None: written.append(name) or cut(df, name, path))
+    settled = []
+
+    def settle(some):
+        settled.append(some.count())
+        return some.where("a = 0 and b = 109")
+
+    got = graph.joined_by_rounds(pairs, lambda p: p.withColumn("score", F.lit(0.5)), settle).collect()
+    assert [(r["ca"], r["cb"]) for r in got] == [(0, 109)] and sum(settled) == 300
+    assert written.count("open-pairs") == 1  # a second round, as before, would settle as many pairs and join all of them again
+
+
 def test_schema_has_clashing_names():
     assert {"row", "th", "id", "gone", "_score", "component"} <= {x.split()[0] for x in SCHEMA.split(", ")}
 
