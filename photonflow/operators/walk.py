@@ -3,7 +3,7 @@
 From an item's directory the walk goes up and down: among the directories that it has heard of it takes the greatest (up) or
 smallest (down) path, all of whose files before (after) the item it takes, until it has enough files; a directory tells of its own directories on
 that side of the item and of its parent. Nothing is walked here. What the walk would take follows from places in four orders, each
-computed once over ranges of a sort, and each item's way to the root is a join on its ancestors.
+computed once over ranges of a sort, and each item's way to the root is that of its folder. Files of a folder without directories are sorted in one order only.
 
 * Up, the directories below an ancestor come before the next ancestor, greatest name first and each before its own: a preorder, in which
   what is below a directory is an interval (nested sets).
@@ -95,23 +95,35 @@ def walk_candidates(items: DataFrame, enough: int, targets: DataFrame | None = N
     entries = files.select(F.col("rel_path").alias("entry"), "folder", last(F.col("rel_path")).alias("name"), F.lit(True).alias("file")).unionAll(
         folders.where("folder <> ''").select(F.col("folder").alias("entry"), parent.alias("folder"), F.concat(last(F.col("folder")), F.lit("/")), F.lit(False)))
     one = F.when(F.col("file"), 1).otherwise(0)
-    entries = before(entries.withColumn("key", below(F.col("folder"), F.col("name"))), "key", all_before=one)
-    entries = before(entries.withColumn("key", F.concat("folder", F.lit("\x00"), "name")), "key", own_place=one)
+    entries = before(entries.withColumn("key", F.concat("folder", F.lit("\x00"), "name")), "key", own_place=one).drop("key")
+    first = entries.groupBy("folder").agg(F.min("own_place").alias("first"))
+    # a folder without directories is contiguous in the other orders: its files follow from its own entry, and only that is sorted there
+    flat = (F.col("files") > 0) & (F.col("inside") == 1) & (F.col("folder") != "")
+    held = folders.select("folder", F.col("files").alias("folder_files"), "inside", flat.alias("flat"))
+    entries = entries.join(first, "folder").join(held, "folder").withColumn("own_before", F.col("own_place") - F.col("first")).drop("first")
+    entries = stable(entries, "walk-entries")
+    sole = folders.where(flat).select(F.col("folder").alias("entry"), F.col("files").alias("sole"))
+    sorted_ = entries.where(~F.col("flat")).join(sole, "entry", "left").withColumn("key", below(F.col("folder"), F.col("name")))
+    sorted_ = before(sorted_, "key", all_before=F.coalesce(F.col("sole"), one)).drop("key", "sole")
     some = F.when(F.col("files") > 0, 1).otherwise(0)
     nothing = F.lit(0).cast("long")
-    marks = entries.select("entry", preorder_key(F.col("folder"), F.col("name")).alias("key"), F.lit(True).alias("mark"), nothing.alias("files"))
+    marks = sorted_.select("entry", preorder_key(F.col("folder"), F.col("name")).alias("key"), F.lit(True).alias("mark"), nothing.alias("files"))
     tree = before(marks.unionAll(folders.select("folder", preorder_key(F.col("folder")), F.lit(False), "files")), "key", preorder=some)
-    marks = entries.select("entry", below(F.col("folder"), F.col("name")).alias("key"), F.lit(True).alias("mark"), nothing.alias("files"))
+    marks = sorted_.select("entry", below(F.col("folder"), F.col("name")).alias("key"), F.lit(True).alias("mark"), nothing.alias("files"))
     paths = before(marks.unionAll(folders.select("folder", "folder", F.lit(False), "files")), "key", by_path=some)
     at = lambda rows, mark, name, to: rows.where(F.col("mark") == mark).select(F.col("entry").alias(to), F.col(name))
     folders = stable(folders.join(at(tree, False, "preorder", "folder"), "folder").join(at(paths, False, "by_path", "folder"), "folder"), "walk-folders")
-    entries = entries.drop("key").join(at(tree, True, "preorder", "entry"), "entry").join(at(paths, True, "by_path", "entry"), "entry")
-    first = entries.groupBy("folder").agg(F.min("own_place").alias("first"))
-    end = folders.select("folder", F.col("files").alias("folder_files"), (F.col("preorder") + F.col("inside")).alias("end"))
-    entries = stable(entries.join(first, "folder").join(end, "folder").withColumn("own_before", F.col("own_place") - F.col("first")), "walk-entries")
+    end = folders.select("folder", (F.col("preorder") + F.col("inside")).alias("end"))
+    sorted_ = sorted_.join(at(tree, True, "preorder", "entry"), "entry").join(at(paths, True, "by_path", "entry"), "entry").join(end, "folder")
+    sorted_ = stable(sorted_, "walk-sorted")
+    own_entry = sorted_.where(~F.col("file")).select(F.col("entry").alias("folder"), F.col("all_before").alias("_base"), "by_path")
+    columns = ["entry", "folder", "file", "all_before", "by_path", "own_place", "own_before", "folder_files"]
+    derived = entries.where("flat").join(own_entry, "folder").withColumn("all_before", F.col("_base") + F.col("own_before"))
+    leaves = stable(derived.select(columns).unionAll(sorted_.where("file").select(columns)), "walk-leaves")  # of files
+    inner = sorted_.where(~F.col("file")).select(columns)  # of directories
 
     # up: for each entry, the directories beside it that the walk takes at this level
-    open_ = entries.where("preorder < end").select("entry", "folder", "name", "preorder", "end")
+    open_ = sorted_.where("preorder < end").select("entry", "folder", "name", "preorder", "end")
     beside = open_.select("entry", F.explode(F.transform(prefixes(F.col("name"), "/"), lambda x: below(F.col("folder"), x))).alias("folder"))
     skipped = beside.join(folders.select("folder", "preorder", "inside"), "folder").groupBy("entry").agg(F.collect_list(F.struct(F.col("preorder").alias("at"), F.col("inside").alias("n"))).alias("skipped"))
     beside = open_.join(skipped, "entry", "left").select("entry", places(F.col("preorder"), F.col("end"), F.col("skipped"), enough).alias("places"))
@@ -119,26 +131,32 @@ def walk_candidates(items: DataFrame, enough: int, targets: DataFrame | None = N
 
     # the way of each item to the root
     wanted = files if targets is None else files.join(targets.select("rel_path").distinct(), "rel_path", "left_semi")
-    ways = wanted.select("rel_path", F.posexplode(ancestors(F.col("rel_path"))).alias("level", "above"))
-    chain = wanted.select("rel_path", F.concat(F.array("rel_path"), ancestors(F.col("rel_path"))).alias("c")).select("rel_path", F.posexplode(F.slice("c", 1, F.size("c") - 1)).alias("level", "entry"))
-    ways = chain.join(ways.drop("above"), ["rel_path", "level"]).join(entries.select("entry", "folder", "file", "all_before", "own_place", "own_before", "folder_files"), "entry")
-    after = F.col("folder_files") - F.col("own_before") - F.when(F.col("file"), 1).otherwise(0)
-    by_level = W.partitionBy("rel_path").orderBy("level").rowsBetween(W.unboundedPreceding, -1)
-    start = F.first(F.col("all_before")).over(W.partitionBy("rel_path").orderBy("level").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    ways = ways.withColumns({"start": start, "down_taken": F.coalesce(F.sum(after).over(by_level), F.lit(0)), "after": after})
-    ways = stable(ways.withColumn("up_taken", F.when(F.col("level") == 0, 0).otherwise(F.col("start") - F.col("all_before"))), "walk-ways")
-
-    own = files.select(F.col("rel_path").alias("item"), "folder").join(entries.where("file").select(F.col("entry").alias("item"), F.col("own_place").alias("place")), "item")
-    near = ways.join(own, "folder").where("item <> rel_path").select("rel_path", "item", (F.col("place") < F.col("own_place")).alias("up"), "up_taken", "down_taken")
+    # the same for all files of a folder but for the first step
+    steps = F.concat(F.array("folder"), F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(ancestors(F.col("folder"))))
+    chain = folders.where("files > 0").select(F.col("folder").alias("here"), F.posexplode(F.slice(steps, 1, F.size(steps) - 1)).alias("level", "entry"))
+    beyond_file = F.col("folder_files") - F.col("own_before")
+    by_level = W.partitionBy("here").orderBy("level").rowsBetween(W.unboundedPreceding, -1)
+    chain = chain.join(inner, "entry").select("here", "level", "entry", "folder", "all_before", "own_place", "own_before", beyond_file.alias("after"))
+    chain = stable(chain.withColumn("_taken", F.coalesce(F.sum("after").over(by_level), F.lit(0))), "walk-chains")
+    begun = leaves.join(wanted.select(F.col("rel_path").alias("entry")), "entry", "left_semi") if targets is not None else leaves
+    begun = begun.select(F.col("entry").alias("rel_path"), "entry", "folder", "all_before", "own_place", "own_before", (beyond_file - 1).alias("after"))
+    on = begun.select("rel_path", F.col("folder").alias("here"), F.col("all_before").alias("_start"), F.col("after").alias("_after")).join(chain, "here")
+    on = on.select("rel_path", "entry", "folder", "own_place", "own_before", "after", (F.col("_start") - F.col("all_before")).alias("up_taken"), (F.col("_after") + F.col("_taken")).alias("down_taken"))
+    zero = F.lit(0).cast("long")
+    ways = begun.select("rel_path", "entry", "folder", "own_place", "own_before", "after", zero.alias("up_taken"), zero.alias("down_taken")).unionAll(on)
+    ways = stable(ways, "walk-ways")
+
+    own = leaves.select(F.col("entry").alias("item"), "folder", F.col("own_place").alias("place"))
+    near = ways.where(F.least("up_taken", "down_taken") < enough).join(own, "folder").where("item <> rel_path").select("rel_path", "item", (F.col("place") < F.col("own_place")).alias("up"), "up_taken", "down_taken")
     near = near.where(F.when(F.col("up"), F.col("up_taken")).otherwise(F.col("down_taken")) < enough).select("rel_path", "item", "up")
     full = F.col("up_taken") + F.col("own_before")
     up = ways.where(full < enough).join(beside.withColumnRenamed("folder", "met"), "entry").where(full + F.col("taken") < enough).select("rel_path", F.col("met").alias("folder"), F.lit(True).alias("up"))
 
     # down, beyond the root: directories by path
     total = ways.groupBy("rel_path").agg(F.sum("after").alias("down")).where(F.col("down") < enough)
-    few = total.join(entries.select(F.col("entry").alias("rel_path"), F.col("by_path").alias("start")), "rel_path")
+    few = total.join(leaves.select(F.col("entry").alias("rel_path"), F.col("by_path").alias("start")), "rel_path")
     odd = few.select("rel_path", F.explode(prefixes(F.col("rel_path"), ".")).alias("folder")).join(folders.select("folder", "inside", "files"), "folder")
-    odd = odd.join(entries.select(F.col("entry").alias("folder"), "by_path"), "folder").select("rel_path", F.struct(F.col("by_path").alias("at"), (F.col("inside") - F.when(F.col("files") > 0, 1).otherwise(0)).alias("n")).alias("s"))
+    odd = odd.join(inner.select(F.col("entry").alias("folder"), "by_path"), "folder").select("rel_path", F.struct(F.col("by_path").alias("at"), (F.col("inside") - F.when(F.col("files") > 0, 1).otherwise(0)).alias("n")).alias("s"))
     odd = odd.where("s.n > 0").groupBy("rel_path").agg(F.collect_list("s").alias("skipped"))
     most = folders.where("files > 0").count()
     beyond = few.join(odd, "rel_path", "left").select("rel_path", places(F.col("start"), F.lit(most).cast("long"), F.col("skipped"), enough).alias("places"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from photonflow import cli
 from photonflow.config import load_config
 from photonflow.media.jpeg import SIGNATURE
-from photonflow.operators import context, infer, lookup, sink
+from photonflow.operators import context, infer, lookup, sink, walk
 from photonflow.operators.walk import walk_candidates
 from photonflow.plans.pipelines import Services, get_pipeline, list_pipelines, run_pipeline
 from photonflow.schema import ERRORS, HEADS, IMAGES, OUTPUT
@@ -176,6 +176,15 @@ def test_walk_against_listing_directories(spark, seed, n, enough):
     assert len(got) == len(set(got)) and set(got) == {(t, i, up) for t in some for up in (True, False) for i in slow_walk(paths, t, enough, up)}
 
 
+def test_walk_sorts_files_of_flat_folders_once(spark, monkeypatch):
+    paths = [f"{d}/{i:02d}.jpg" for d in ("a", "a-1", "b/c") for i in range(30)] + ["b/x.jpg"]
+    sizes, before = {}, walk.before
+    monkeypatch.setattr(walk, "before", lambda rows, key, **w: sizes.update(dict.fromkeys(w, rows.count())) or before(rows, key, **w))
+    got = {tuple(r) for r in walk_candidates(spark.createDataFrame([(p,) for p in paths], "rel_path string"), 40).collect()}
+    assert got == {(t, i, up) for t in paths for up in (True, False) for i in slow_walk(paths, t, 40, up)}
+    assert sizes["own_place"] >= len(paths) and max(sizes[n] for n in ("all_before", "preorder", "by_path")) < 20
+
+
 def test_walk_for_context(spark):
     base = datetime(2020, 1, 1)
     items = [(p, base + timedelta(hours=h), base + timedelta(hours=h)) for p, h in (("a/1.jpg", 1), ("a/2.jpg", 9), ("b/1.jpg", 3), ("b/2.jpg", 4), ("b/3.jpg", 30), ("c/1.jpg", 4), ("z.jpg", 5))] + [("b/4.jpg", None, None)]
