@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photonflow.llm.common import cut, new_path, packed, remove, unpacked
@@ -25,6 +25,9 @@ KEEP = 0.5
 TOLERANCE, ROUNDS = 1e-6, 100
 #: Rounds without progress after which raking gives up.
 PATIENCE = 20
+#: Counted cells up to which one task fits them, ``AT_ONCE`` rounds in a job, as sums over windows without an exchange or a broadcast,
+#: each of which costs the driver a thread. More are grouped and joined across tasks, a round in a job.
+FEW_CELLS, AT_ONCE = 10_000, 2
 #: Counted cells up to which probabilities are broadcast to the documents.
 BROADCAST_CELLS = 100_000
 SEED = 20_240
@@ -54,47 +57,62 @@ def cells(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("_tokens").cast("double").alias("w")).where("w > 0")
 
 
+def with_sums(found: DataFrame, d: str, value: str, name: str, few: bool) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the cell's category of ``d``. ``few``: by a window, for cells in one partition."""
+    if few:
+        return found.withColumn(name, F.sum(value).over(Window.partitionBy(d)))
+    return found.join(found.groupBy(d).agg(F.sum(value).alias(name)), d)
+
+
 def with_targets(found: DataFrame, powers: dict[str, float] = POWERS) -> DataFrame:
     """Adds ``t_<dim>``, the wanted share of the cell's category: present share to a power, summing to 1 over the categories."""
-    out = found
+    few = found.count() <= FEW_CELLS
+    out = found = found.coalesce(1) if few else found
     for d, power in powers.items():
-        shares = found.groupBy(d).agg(F.pow(F.sum("w"), F.lit(power)).alias("s"))
-        total = shares.agg(F.sum("s")).first()[0] or 1.0
-        out = out.join(shares.select(d, (F.col("s") / total).alias(f"t_{d}")), d)
+        total = found.groupBy(d).agg(F.pow(F.sum("w"), F.lit(power)).alias("s")).agg(F.sum("s")).first()[0] or 1.0
+        out = with_sums(out, d, "w", "_sum", few).withColumn(f"t_{d}", F.pow(F.col("_sum"), F.lit(power)) / total).drop("_sum")
     return out
 
 
 def rake(found: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """``found(dims, w, t_<dim>)`` -> the same with ``fitted``, whose marginals are ``t_<dim>`` of the total.
 
-    One round scales by each dimension in turn, by sums that are pre-aggregated by category, and is written to the shared folder; it ends when no
+    One round scales by each dimension in turn, by sums over categories; one or some rounds are written to the shared folder at a time. It ends when no
     factor differs from 1 by more than ``tolerance``, when ``PATIENCE`` rounds have not brought the largest factor a
     thousandth nearer to 1 than it was at best (on the way to a fit it may grow for some rounds), or after ``rounds``.
     Marginals that contradict each other, as when a source has one language only, have no exact fit; the last round
     is returned, and a warning states how far off it is.
     """
     spark = found.sparkSession
-    total = found.agg(F.sum("w")).first()[0] or 0.0
+    n, total = found.agg(F.count("*"), F.sum("w")).first()
+    total, few = total or 0.0, n <= FEW_CELLS
+    gathered = lambda df: df.coalesce(1) if few else df
     path = new_path(spark, "raked")
-    state = cut(found.withColumn("fitted", F.col("w")).withColumn("off", F.lit(0.0)), "raked", path)
-    best, since = float("inf"), 0
-    for _ in range(rounds):
-        step = state.withColumn("off", F.lit(0.0))
-        for d in DIMS:
-            sums = step.groupBy(d).agg(F.sum("fitted").alias("_sum"))
-            step = step.join(sums, d).withColumn("_f", F.col(f"t_{d}") * total / F.col("_sum")).drop("_sum")
-            step = step.withColumn("fitted", F.col("fitted") * F.col("_f")).withColumn("off", F.greatest("off", F.abs(F.col("_f") - 1))).drop("_f")
+    state = gathered(cut(gathered(found).withColumn("fitted", F.col("w")), "raked", path))
+    best, since, off, done = float("inf"), 0, 0.0, 0
+    while done < rounds:
+        step, laps = state, min(AT_ONCE if few else 1, rounds - done)
+        for i in range(laps):
+            step = step.withColumn(f"_off{i}", F.lit(0.0))
+            for d in DIMS:
+                step = with_sums(step, d, "fitted", "_sum", few).withColumn("_f", F.col(f"t_{d}") * total / F.col("_sum")).drop("_sum")
+                step = step.withColumn("fitted", F.col("fitted") * F.col("_f")).withColumn(f"_off{i}", F.greatest(f"_off{i}", F.abs(F.col("_f") - 1))).drop("_f")
+            step = step.withColumn(f"_fitted{i}", F.col("fitted"))
         after = new_path(spark, "raked")
-        state = cut(step, "raked", after)
+        step = gathered(cut(step.drop("fitted"), "raked", after))
         remove(spark, path)
         path = after
-        off = state.agg(F.max("off")).first()[0] or 0.0
-        best, since = (off, 0) if off < 0.999 * best else (best, since + 1)
-        if off <= tolerance or since >= PATIENCE:
+        for i, off in enumerate(step.agg(*(F.max(f"_off{i}") for i in range(laps))).first()):
+            off, done = off or 0.0, done + 1
+            best, since = (off, 0) if off < 0.999 * best else (best, since + 1)
+            if ended := off <= tolerance or since >= PATIENCE:
+                break
+        state = step.select(*found.columns, F.col(f"_fitted{i}").alias("fitted"))
+        if ended:
             break
     if rounds and off > tolerance:
         log.warning("raking: a factor is still %.3g off 1", off)
-    return state.drop("off")
+    return state
 
 
 def probabilities(fitted: DataFrame, keep: float = KEEP) -> DataFrame:

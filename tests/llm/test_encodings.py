@@ -364,6 +364,22 @@ def test_raking_goes_on_through_worse_rounds(spark):
             assert sum(r["fitted"] for r in rows) == pytest.approx(rows[0][f"t_{d}"] * total, rel=1e-5)
 
 
+def test_raking_few_cells_takes_few_jobs(spark, monkeypatch):
+    """One task fits few cells, some rounds in a job, with the result of groups and joins; round by round 41 rounds took over 200 jobs."""
+    rng, cells = random.Random(286), {}
+    for _ in range(rng.randrange(8, 16)):
+        cells[(rng.choice("abcd"), rng.choice("xyz"), rng.choice("pqrs"))] = float(int(rng.paretovariate(0.4)))
+    found = spark.createDataFrame([(*k, w) for k, w in cells.items()], "source string, lang string, topic string, w double")
+    jobs = lambda: set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    fitted = lambda **limits: {r[:3]: r["fitted"] for r in mixing.rake(mixing.with_targets(found), **limits).select(*mixing.DIMS, "fitted").collect()}
+    before = jobs()
+    few = fitted()
+    assert len(jobs() - before) <= 100
+    seven = fitted(rounds=7)
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    assert few.keys() == cells.keys() and seven == pytest.approx(fitted(rounds=7), rel=1e-9)
+
+
 def test_probabilities_meet_the_budget(spark):
     cells = spark.createDataFrame([("a", 100.0, 10.0), ("b", 10.0, 80.0), ("c", 50.0, 70.0)], "source string, w double, fitted double")
     rows = mixing.probabilities(cells, 0.5).collect()

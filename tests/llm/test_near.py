@@ -28,6 +28,22 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 150])
+def test_components_by_joins_and_by_one_task(spark, monkeypatch, few):
+    """Above ``FEW_EDGES`` steps are joins; below them a job takes some steps without an exchange but that of the first edges."""
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    rng = random.Random(2)
+    edges = [(rng.randrange(70), rng.randrange(70)) for _ in range(60)] + [(1000 + i, 1001 + i) for i in range(40)] + [(99, i) for i in range(100, 140)]
+    sets = Sets({x for a, b in edges if a != b for x in (a, b)})
+    for a, b in edges:
+        if a != b:
+            sets.join(a, b)
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: sets.find(x) for x in sets.up}
+    assert few == 0 or len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before) <= 20
+
+
 def slow_print(t):
     w = (t or "").encode().lower().split()
     if not w:
